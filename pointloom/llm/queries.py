@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .tokens import op6_token_shards
+from . import packing, tokens, warc
 
-QUERIES = {"op6_token_shards": op6_token_shards}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_warc": warc.op1_warc, "op6_token_shards": tokens.op6_token_shards, "op10_best_fit": packing.op10_best_fit}
+ORACLES: dict[str, str] = {"op1_warc": warc.SQL}
