@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, tokens, warc
+from . import packing, pii, tokens, warc
 
-QUERIES = {"op1_warc": warc.op1_warc, "op6_token_shards": tokens.op6_token_shards, "op10_best_fit": packing.op10_best_fit}
-ORACLES: dict[str, str] = {"op1_warc": warc.SQL}
+QUERIES = {"op1_warc": warc.op1_warc, "op6_token_shards": tokens.op6_token_shards, "op9_pii": pii.op9_pii, "op10_best_fit": packing.op10_best_fit}
+ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op9_pii": pii.SQL}
