@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,20 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Words of an Arrow string array: runs of anything but \\x20 and \\x09-\\x0D. For each word in order
+    its place in a list of the distinct words, that list, and how many words each text has."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = lists.flatten().dictionary_encode()
+    at, ends = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()
+    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    if (blank := np.array([not w for w in words], bool)).any():  # beside white space at the ends of a text
+        stay = ~blank[at]
+        ends, at = np.concatenate(([0], np.cumsum(stay)))[ends], at[stay]
+    return at, words, np.diff(ends)
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import store
-from .tokens import WordEncoder, default_tokenizer, encoded
+from .tokens import default_tokenizer, encoded, encoder_for
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
     path = tokenizer or default_tokenizer()
 
     def cut(batches):
-        for keys, ids, n in encoded(batches, WordEncoder(path), end_id):
+        for keys, ids, n in encoded(batches, encoder_for(path), end_id):
             count = -(-n // length)
             doc = np.repeat(np.arange(len(n)), count)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import split_words, store
 
 VOCABULARY = 49408
-SUB_BATCH_CHARS = 1_000_000
+SUB_BATCH_BYTES = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -37,15 +39,17 @@ class _Numbered(dict):
 
 
 class WordEncoder:
-    """tokenizers.encode(text, add_special_tokens=False) for a tokenizer that never lets a token or a
-    normalisation reach over ASCII white space: the library encodes each distinct word once, and
+    """tokenizers.encode(text, add_special_tokens=False) for a BPE tokenizer with word ends (</w>)
+    that never lets a token or a normalisation reach over ASCII white space: the library encodes each distinct word once, and
     numpy gathers the ids. The word table is emptied when it passes `limit`, so memory is bounded."""
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -56,49 +60,69 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """The library's ids of words that the index has just numbered, the last ones it has."""
-        each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        counts = np.fromiter(map(len, each), np.int64, len(each))
-        ids = np.fromiter(chain.from_iterable(each), np.uint32, int(counts.sum()))
+        encode = self.tokenizer.encode_batch_fast
+        plain = np.fromiter(map(bytes.isalpha, words), bool, len(words))  # one pre-token, which ends with a word's end
+        joined = np.array(encode([b" ".join(compress(words, plain)).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        each = [e.ids for e in encode([w.decode("utf-8", "replace") for w in compress(words, ~plain)], add_special_tokens=False)]
+        counts = np.empty(len(words), np.int64)
+        counts[plain] = np.diff(np.flatnonzero(self.closes[joined]), prepend=-1)
+        counts[~plain] = np.fromiter(map(len, each), np.int64, len(each))
+        ids = np.concatenate([joined, np.fromiter(chain.from_iterable(each), np.uint32, int(counts[~plain].sum()))])
+        place = np.argsort(~plain, kind="stable")
+        starts = np.empty(len(words), np.int64)
+        starts[place] = self.used + np.cumsum(counts[place]) - counts[place]
         last = len(self.index)
         while last > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.count[last - len(words) : last] = counts
-        self.start[last - len(words) : last] = self.used + np.cumsum(counts) - counts
+        self.start[last - len(words) : last] = starts
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         if len(self.index) > self.limit:
             self._clear()
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int32, sum(map(len, split)))
+        at, words, per_text = split_words(texts)
+        if not len(at):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        number = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
         if self.index.new:
             self._learn(self.index.new)
             self.index.new = []
+        at = number[at]
         n = self.count[at]
         ends = np.cumsum(n, dtype=np.int64)
-        ids = self.flat[np.repeat(self.start[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        upto = np.concatenate(([0], ends))[np.cumsum([0] + [len(s) for s in split])]
+        ids = self.flat[np.repeat(self.start[at] - ends + n, n) + np.arange(int(ends[-1]))]
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
         return ids, np.diff(upto)
 
 
+@functools.cache
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for each Python worker, which keeps its word table from task to task."""
+    return WordEncoder(path)
+
+
+def slices(texts: pa.Array, most: int = SUB_BATCH_BYTES):
+    """(start, stop) of runs of texts of at most `most` bytes together, or of one longer text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
+
+
 def encoded(batches, encoder: WordEncoder, end_id: int):
-    """For Arrow batches with doc_id and text: (doc ids, ids with the end id, length) in pieces of bounded text."""
+    """For Arrow batches with doc_id and text: (doc ids, ids with the end id, lengths) in pieces of bounded text."""
     for batch in batches:
-        keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        size = np.cumsum([len(x) if (x := v.as_buffer()) else 0 for v in texts]) if len(texts) else []
-        cut = 0
-        while cut < len(keys):
-            base = size[cut - 1] if cut else 0
-            to = max(cut + 1, int(np.searchsorted(size, base + SUB_BATCH_CHARS, side="right")))
-            ids, n = encoder.encode(texts.slice(cut, to - cut).to_pylist())
-            ends = np.cumsum(n)
-            out = np.insert(ids, ends, np.uint32(end_id)) if len(n) else ids
-            yield keys[cut:to], out, n + 1
-            cut = to
+        keys, texts = batch.column("doc_id"), batch.column("text")
+        for a, b in slices(texts):
+            ids, n = encoder.encode(texts.slice(a, b - a))
+            yield keys.slice(a, b - a).to_pylist(), np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1
 
 
 # Re-Pair ------------------------------------------------------------------------------------------
@@ -121,9 +145,11 @@ def repair(ids: np.ndarray, vocabulary: int, end_id: int, rounds: int = 4, per_r
         bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(7) & bits
         free = ~closing[left]
         counts = np.bincount(bucket[free], minlength=1 << 20)
-        best = np.argpartition(counts, -per_round)[-per_round:]
+        best = np.flatnonzero(counts >= least)
+        if len(best) > per_round:
+            best = best[np.argpartition(counts[best], -per_round)[-per_round:]]
         chosen = np.zeros(1 << 20, bool)
-        chosen[best[counts[best] >= least]] = True
+        chosen[best] = True
         at = np.flatnonzero(chosen[bucket] & free)
         pairs, n = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_counts=True)
         keep = n >= least
@@ -254,7 +280,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: in
             keys, ids, lengths, held, seq = [], [], [], 0, seq + 1
             return row
 
-        for k, i, n in encoded(batches, WordEncoder(path), end_id):
+        for k, i, n in encoded(batches, encoder_for(path), end_id):
             keys += k
             ids.append(i)
             lengths.append(n)
