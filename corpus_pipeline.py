@@ -1,11 +1,65 @@
-"""Corpus pipeline: stages over documents."""
+"""Corpus pipeline: language ID, near-dedup, personal data, mixing, packing. Each stage takes
+(spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows and rereads them."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointloom.llm.common import store
+from pointloom.llm.langid import UNKNOWN, identify, train
+from pointloom.llm.minhash import near_duplicates
+from pointloom.llm.mixing import draw, mix
+from pointloom.llm.packing import pack_documents
+from pointloom.llm.pii import find_pii, redact
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the predicted language to lang and rejects documents without a letter."""
+    model = train(docs.select("doc_id", "text", "lang"))
+    return identify(docs.select(COLUMNS), model).where(F.col("lang_pred") != UNKNOWN).withColumn("lang", F.col("lang_pred")).select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near copies (five-word shingles,
+    similarity 0.8). Documents without words stay, and so do rows without a doc_id."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    return docs.select(COLUMNS).join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts by its kind, and counts characters anew."""
+    found = find_pii(docs.select(COLUMNS)).withColumn("text", redact(F.col("text"), F.col("pii")))
+    return found.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents of small sources towards even weights, none more than twice as often as
+    another; every document is drawn at least once."""
+    return draw(mix(docs.select(COLUMNS), repeat_limit=2.0), COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and offset."""
+    return pack_documents(docs, "pipeline-pieces")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("PII", redact_personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+# Language ID is a trained network: SQL can't express it. tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
     return docs
