@@ -99,26 +99,27 @@ def plan_packing(counts: dict[int, int], capacity: Capacity = Capacity(), rule:
     return runs
 
 
-def pack(pieces: DataFrame, capacity: Capacity = Capacity(), order: tuple[str, ...] = ("doc_id", "piece"), rule: str = "dot", salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: Capacity = Capacity(), order: tuple[str, ...] = ("doc_id", "piece"), rule: str = "dot", group_rows: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to pieces(length, ...), each other column carried.
 
     Only the histogram of lengths, at most capacity.tokens rows, goes to the driver, where
     plan_packing() lays all bins out in runs. A piece's rank among those of its length comes from
-    `salts` sub-groups of each length, so a length that most pieces share is spread over tasks."""
+    sub-groups of about group_rows pieces, so a length that most pieces share is spread over tasks."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    sizes = store(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "pack-sizes")
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    groups = spark.createDataFrame([(n, -(-c // group_rows)) for n, c in counts.items()], "length long, _groups long")
+    salted = pieces.join(F.broadcast(groups), "length").withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_groups"))).drop("_groups")
+    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     runs = spark.createDataFrame(
         [(n, a, a + k, s, e, o) for n, a, k, s, e, o in plan_packing(counts, capacity, rule)],
         "length long, _from long, _to long, _first long, _each long, _at long",
     )
-    # each sub-group's first rank with the runs that reach it: capacity.tokens * salts rows at most, and the runs
+    # each sub-group's first rank with the runs that reach it
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-    reach = before.join(F.broadcast(runs), "length").where("_from < _before + _n and _to > _before")
-    reach = reach.groupBy("length", "_salt").agg(F.first("_before").alias("_before"), F.sort_array(F.collect_list(F.struct("_from", "_to", "_first", "_each", "_at"))).alias("_runs"))
+    reach = before.join(runs, "length").where("_from < _before + _n and _to > _before")
+    reach = store(reach.groupBy("length", "_salt").agg(F.first("_before").alias("_before"), F.sort_array(F.collect_list(F.struct("_from", "_to", "_first", "_each", "_at"))).alias("_runs")), "pack-runs")
     in_group = Window.partitionBy("length", "_salt").orderBy(*order)
-    ranked = salted.withColumn("_rank", F.row_number().over(in_group) - 1).join(F.broadcast(reach), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_rank"))
+    ranked = salted.withColumn("_rank", F.row_number().over(in_group) - 1).join(reach, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_rank"))
     hit = F.filter("_runs", lambda r: (r["_from"] <= F.col("_rank")) & (F.col("_rank") < r["_to"]))[0]
     ranked = ranked.withColumn("_run", hit).withColumn("_k", F.col("_rank") - F.col("_run._from"))
     return ranked.select(
