@@ -365,15 +365,15 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, cluster_rows: int = 700
             if len(x):
                 hit = (asked @ x.T >= threshold + 1e-9) & (own_label[:, None] == b.column("label").to_numpy()) & (own_id[:, None] != b.column("id").to_numpy())
                 total += hit @ b.column("rows").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(own_id), pa.array(total)], names=["id", "true"])
+        yield pa.RecordBatch.from_arrays([pa.array(own_id), pa.array(total)], names=["id", "expected"])
 
     while True:
         found = _flat_graph_links(classes, centroids, threshold, slack, shard_rows)
         counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
         if len(centroids) == 0 or slack >= 2 * np.sqrt(2 - 2 * threshold):
             break
-        true = classes.mapInArrow(scan, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-        if not true.join(counts, "id", "left").where("true > coalesce(links, 0)").limit(1).count():
+        true = classes.mapInArrow(scan, "id long, expected long").groupBy("id").agg(F.sum("expected").alias("expected"))
+        if not true.join(counts, "id", "left").where("expected > coalesce(links, 0)").limit(1).count():
             break
         slack = 2 * float(np.sqrt(2 - 2 * threshold))
     of = components(found.where("root is not null"), "id", "root")
