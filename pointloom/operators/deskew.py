@@ -27,20 +27,28 @@ class DeskewStatus(Enum):
 
 def deskew_points(points: DataFrame, before: np.ndarray, now: np.ndarray, seconds: float) -> DataFrame:
     """Moves each point by its share of the motion from one pose to the next, as expressions: the twist
-    times the clamped time share, through Rodrigues' formula. Points without a finite time stay."""
+    times the clamped time share, by Rodrigues' formula. Points without a finite time stay."""
     if not has(points, "t_offset_ms") or seconds <= 0:
         return points
     twist = lie.se3_log(lie.inverse_pose(before) @ now)
-    t = F.col("t_offset_ms")
+    w, v = twist[:3], twist[3:]
+    angle = float(np.linalg.norm(w))
+    K = lie.skew(w / angle) if angle > 1e-12 else np.zeros((3, 3))
+    K2, t = K @ K, F.col("t_offset_ms")
     ok = E.finite("t_offset_ms")
     share = F.when(ok, E.clamp(F.when(ok, t) * 1e-3 / seconds, 0, 1)).otherwise(0.0)
-    pose = E.se3_exp([E.lit(v) * share for v in twist])
-    new = dict(zip(E.XYZ, E.move(pose, [F.col(c) for c in E.XYZ])))
+    # the axis is the same for all points: only the share, its sine and one less its cosine vary
+    timed = points.withColumn("_s", share).withColumn("_a", F.sin(F.col("_s") * angle)).withColumn("_b", 1 - F.cos(F.col("_s") * angle))
+    s, a, b = F.col("_s"), F.col("_a"), F.col("_b")
+    turn = [[E.lit(i == j) + a * float(K[i, j]) + b * float(K2[i, j]) for j in range(3)] for i in range(3)]
+    safe = angle if angle > 1e-12 else 1.0
+    shift = [s * float(v[i]) + b * float((K @ v)[i] / safe) + (s - a / safe) * float((K2 @ v)[i]) for i in range(3)]
+    new = {c: x + d for c, x, d in zip(E.XYZ, E.rotate(turn, [F.col(c) for c in E.XYZ]), shift)}
     if has(points, *E.NORMAL):
-        new |= dict(zip(E.NORMAL, E.rotate(pose, [F.col(c) for c in E.NORMAL])))
+        new |= dict(zip(E.NORMAL, E.rotate(turn, [F.col(c) for c in E.NORMAL])))
     if has(points, *E.COV):
-        new |= dict(zip(E.COV, E.rotate_cov(pose, [F.col(c) for c in E.COV])))
-    return points.withColumns({c: F.when(ok, v).otherwise(F.col(c)) for c, v in new.items()})
+        new |= dict(zip(E.COV, E.rotate_cov(turn, [F.col(c) for c in E.COV])))
+    return timed.withColumns({c: F.when(ok, x).otherwise(F.col(c)) for c, x in new.items()}).select(*points.columns)
 
 
 def _apply(cloud: Cloud, T: np.ndarray, ok: np.ndarray) -> Cloud:

@@ -123,11 +123,11 @@ def preprocess(points: DataFrame, p: PreprocessParams, k: int = 10) -> DataFrame
         out = sampling.uniform_sample(out, p.sample, p.seed)
     if p.angle:
         out = filters.angle_filter(out, *p.angle)
-    if p.intensity:
+    if p.intensity is not None:
         out = features.correct_intensity(out, **p.intensity)
-    if p.smooth:
+    if p.smooth is not None:
         out = features.smooth_intensity(out, k, by=("frame_id",), **p.smooth)
-    if p.local_mean:
+    if p.local_mean is not None:
         out = features.normalize_by_local_mean(out, k, by=("frame_id",), **p.local_mean)
     return out
 
@@ -259,6 +259,13 @@ class LidarOdometry:
         self.velocity = np.zeros(3)
         self.stages: list[tuple[str, float]] = []
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "aligner"} | {"stages": []}
+
+    def __setstate__(self, kept: dict) -> None:
+        self.__dict__.update(kept)
+        self.aligner = reg.frame_aligner(self.p.registration, self.p.pipeline, self.prior)
+
     def add_imu(self, ts: float, gyro: np.ndarray, accel: np.ndarray) -> bool:
         """Buffers a sample; late, repeated and non-finite ones are refused."""
         row = np.concatenate([[ts], gyro, accel]).astype(float)

@@ -9,10 +9,19 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Rows and bytes that one Arrow batch may hold, where the session does not say: a batch of long texts
+#: is held several times over by the JVM and a Python worker.
+ARROW_ROWS, ARROW_BYTES = "2000", str(8 << 20)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the session's Python workers, once, through Spark's own file server, so
-    that they need no copy of the repository."""
+    that they need no copy of the repository. Bounds Arrow batches where the session does not."""
     sc = spark.sparkContext
+    for name, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     if getattr(sc, "_pointloom_sent", False):
         return
     home = os.path.dirname(os.path.abspath(__file__))
