@@ -185,28 +185,33 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Near duplicates ----------------------------------------------------------------------------------
 
 
-def robust_prune(near: np.ndarray, alpha: float = 1.2) -> np.ndarray:
+def robust_prune(near: np.ndarray, alpha: float = 1.0, block: int = 512) -> np.ndarray:
     """Out-neighbours of each point, from the squared distances of all to all, as a matrix filled up
-    with the point itself. Going by distance, a candidate stays unless a kept one is alpha times
-    closer to it than the point is. Every other point is a candidate and the degree has no bound, so
-    for any two points some neighbour of the first is alpha times closer to the second, or is it."""
+    with the point itself. Going by distance, a candidate stays unless a kept one is more than alpha
+    times closer to it than the point is. Every other point is a candidate and the degree has no
+    bound, so for any two points some neighbour of the first is closer to the second, or is it: a
+    greedy walk towards a point of the graph arrives from anywhere."""
     n = len(near)
-    rows, left = np.arange(n), near.copy()
-    left[rows, rows] = np.inf
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(rows):
-        j = left.argmin(axis=1)
-        live = np.isfinite(left[np.arange(len(rows)), j])
-        if not live.all():
-            rows, left, j = rows[live], left[live], j[live]
-            if not len(rows):
-                break
-        kept.append((rows, j))
-        left[(alpha * alpha) * near[j] <= left] = np.inf
-        left[np.arange(len(rows)), j] = np.inf
-    out = np.repeat(np.arange(n)[:, None], max(len(kept), 1), axis=1)
-    for k, (r, j) in enumerate(kept):
-        out[r, k] = j
+    edges = []
+    for a in range(0, n, block):
+        rows, left = np.arange(a, min(a + block, n)), near[a : a + block].copy()
+        left[np.arange(len(rows)), rows] = np.inf
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(rows):
+            j = left.argmin(axis=1)
+            live = np.isfinite(left[np.arange(len(rows)), j])
+            if not live.all():
+                rows, left, j = rows[live], left[live], j[live]
+                if not len(rows):
+                    break
+            kept.append((rows, j))
+            left[(alpha * alpha) * near[j] < left] = np.inf
+            left[np.arange(len(rows)), j] = np.inf
+        edges.append(kept)
+    out = np.repeat(np.arange(n)[:, None], max([1, *map(len, edges)]), axis=1)
+    for kept in edges:
+        for k, (r, j) in enumerate(kept):
+            out[r, k] = j
     return out
 
 
@@ -328,7 +333,7 @@ def _flat_graph_links(classes: DataFrame, centroids: np.ndarray, threshold: floa
     return store(asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "id long, links long, root long"), "vector-links")
 
 
-def near_vectors(df: DataFrame, threshold: float = 0.98, cluster_rows: int = 700, shard_rows: int = 2500, slack: float = 0.16, sample: int = 8000, audit: int = 200) -> DataFrame:
+def near_vectors(df: DataFrame, threshold: float = 0.98, cluster_rows: int = 4000, shard_rows: int = 8000, slack: float = 0.16, sample: int = 8000, audit: int = 200) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of df(vec_id, embedding, label).
 
     Rows link when their labels are equal and not null and their cosine, in double precision, is at
