@@ -138,17 +138,18 @@ def find_candidates(spark: SparkSession, path: str, chunk: int) -> DataFrame:
                     to[at] = n if n is None or n >= end else to.get(n)
                 rows = [(at, to[at]) for at in places if to[at] is not None]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([uri] * len(rows)), pa.array([r.size] * len(rows), pa.int64()), pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())],
+                    [pa.array([uri] * len(rows), pa.string()), pa.array([r.size] * len(rows), pa.int64()), pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())],
                     names=["path", "size", "off", "to"],
                 )
 
     return splits.repartition(max(1, min(total, 20_000)), "path", "begin").mapInArrow(scan, "path string, size long, off long, to long")
 
 
-def chain_entries(candidates: DataFrame, chunk: int) -> DataFrame:
+def chain_entries(candidates: DataFrame, chunk: int, files: int) -> DataFrame:
     """(path, off): the records that the chain from a file's start enters a byte range by. Pointer
     jumping: each round doubles the ranges that a pointer passes, and adds what the reached records'
-    pointers reach. Raises ValueError if a chain ends before its file does."""
+    pointers reach. Raises ValueError if
+    the chain of one of the `files` archives ends before its file does."""
     links = store(candidates, "warc-links")
     spans = links.agg(F.max(F.ceil(F.col("size") / chunk))).first()[0] or 0
     jump, reached = links.select("path", "off", "to"), links.where("off = 0").select("path", "off")
@@ -160,7 +161,6 @@ def chain_entries(candidates: DataFrame, chunk: int) -> DataFrame:
         jump = store(jump.join(beyond, ["path", "to"]).select("path", "off", F.col("further").alias("to")), "warc-jump")
         span *= 2
     ends = reached.join(links, ["path", "off"]).where("to = size").select("path").distinct().count()
-    files = links.select("path").distinct().count()
     if ends < files:
         raise ValueError(f"{files - ends} archives break off inside a record")
     return reached.join(links.select("path", "off"), ["path", "off"], "left_semi")
@@ -171,7 +171,8 @@ RECORDS = "path string, offset long, record_type string, page_id long, refers_to
 
 def read_archives(spark: SparkSession, path: str, chunk: int = 4 << 20) -> DataFrame:
     """The records under path, of any size and number, read from verified chain entries only."""
-    entries = store(chain_entries(find_candidates(spark, path, chunk), chunk), "warc-entries")
+    files = _splits(spark, path, chunk)[0].count()
+    entries = store(chain_entries(find_candidates(spark, path, chunk), chunk, files), "warc-entries")
 
     def page(urn: str | None) -> int | None:
         m = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
