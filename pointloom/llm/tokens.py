@@ -17,6 +17,7 @@ from .common import split_words, store
 
 VOCABULARY = 49408
 SUB_BATCH_BYTES = 4 << 20
+MARKS = b".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -40,63 +41,117 @@ class _Numbered(dict):
 
 class WordEncoder:
     """tokenizers.encode(text, add_special_tokens=False) for a BPE tokenizer with word ends (</w>)
-    that never lets a token or a normalisation reach over ASCII white space: the library encodes each distinct word once, and
-    numpy gathers the ids. The word table is emptied when it passes `limit`, so memory is bounded."""
+    that lower-cases and never lets a token or a normalisation reach over ASCII white space: the library encodes each distinct word once, and
+    numpy gathers the ids. When the word table passes `limit`, it
+    drops what one batch alone has had, so memory is bounded."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        # words of ASCII letters need no normalisation but lower case, and no pattern to split them
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.index = _Numbered()
+        self.index, self.seen = _Numbered(), np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int32)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        """The library's ids of words that the index has just numbered, the last ones it has."""
-        encode = self.tokenizer.encode_batch_fast
-        plain = np.fromiter(map(bytes.isalpha, words), bool, len(words))  # one pre-token, which ends with a word's end
-        joined = np.array(encode([b" ".join(compress(words, plain)).decode()], add_special_tokens=False)[0].ids, np.uint32)
-        each = [e.ids for e in encode([w.decode("utf-8", "replace") for w in compress(words, ~plain)], add_special_tokens=False)]
-        counts = np.empty(len(words), np.int64)
-        counts[plain] = np.diff(np.flatnonzero(self.closes[joined]), prepend=-1)
-        counts[~plain] = np.fromiter(map(len, each), np.int64, len(each))
-        ids = np.concatenate([joined, np.fromiter(chain.from_iterable(each), np.uint32, int(counts[~plain].sum()))])
-        place = np.argsort(~plain, kind="stable")
-        starts = np.empty(len(words), np.int64)
-        starts[place] = self.used + np.cumsum(counts[place]) - counts[place]
-        last = len(self.index)
-        while last > len(self.start):
+    def _forget(self) -> None:
+        """Keeps only the words that more than one batch has had."""
+        stay = self.seen[: len(self.index)] > 1
+        if stay.sum() > self.limit // 2:
+            return self._clear()
+        words = list(compress(self.index, stay))
+        flat, n = self._gather(np.flatnonzero(stay))
+        self._clear()
+        self.index.update(zip(words, range(len(words))))
+        self._set(np.arange(len(words)), flat, n)
+
+    def _room(self, words: int, ids: int) -> None:
+        while words > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
-        while self.used + len(ids) > len(self.flat):
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
+        while ids > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.count[last - len(words) : last] = counts
-        self.start[last - len(words) : last] = starts
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words one after the other, and how many each has."""
+        n = self.count[at]
+        ends = np.cumsum(n, dtype=np.int64)
+        return self.flat[np.repeat(self.start[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+
+    def _set(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        self._room(len(self.index), self.used + len(ids))
+        self.count[at], self.start[at] = counts, self.used + np.cumsum(counts) - counts
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
+    def _joined(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and counts of words that are one pre-token each, from one call; None if they are not."""
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids])
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) else None
+
+    def _learn(self) -> None:
+        """The library's ids of the words that the index has just numbered. Words of ASCII letters share
+        the ids of their lower case, and such words with marks at the end are put together from both:
+        the library's pattern parts them there, whatever the word."""
+        number, first = self.index.__getitem__, len(self.index) - len(self.index.new)
+        same, whole, marks, plain, letters, others = [], [], [], [], [], []
+        k = 0
+        while k < len(self.index.new):  # grows with the lower-case words and marks that are new themselves
+            w = self.index.new[k]
+            if w.isalpha():
+                if (low := w.lower()) == w:
+                    plain.append(first + k)
+                else:
+                    same.append((first + k, number(low)))
+            elif (bare := w.rstrip(MARKS)) and bare.isalpha():
+                whole.append(first + k)
+                marks.append((number(bare.lower()), number(w[len(bare) :])))
+            else:
+                t = w.decode("utf-8", "replace")
+                (letters if t.isalpha() and "İ" not in t else others).append(first + k)
+            k += 1
+        new, self.index.new = self.index.new, []
+        self._room(len(self.index), self.used)
+        text = lambda at: [new[i - first].decode("utf-8", "replace") for i in at]
+        for tokenizer, at in ((self.plain, plain), (self.tokenizer, letters)):
+            if at and (got := self._joined(tokenizer, text(at))):
+                self._set(np.array(at), *got)
+            else:
+                others += at
+        if others:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(text(others), add_special_tokens=False)]
+            counts = np.fromiter(map(len, each), np.int64, len(each))
+            self._set(np.array(others), np.fromiter(chain.from_iterable(each), np.uint32, int(counts.sum())), counts)
+        if same:
+            at, low = np.array(same).T
+            self.start[at], self.count[at] = self.start[low], self.count[low]
+        if whole:
+            ids, n = self._gather(np.array(marks).ravel())
+            self._set(np.array(whole), ids, n[::2] + n[1::2])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
         if len(self.index) > self.limit:
-            self._clear()
+            self._forget()
         at, words, per_text = split_words(texts)
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         number = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
         if self.index.new:
-            self._learn(self.index.new)
-            self.index.new = []
-        at = number[at]
-        n = self.count[at]
-        ends = np.cumsum(n, dtype=np.int64)
-        ids = self.flat[np.repeat(self.start[at] - ends + n, n) + np.arange(int(ends[-1]))]
-        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
+            self._learn()
+        self.seen[number] += 1
+        ids, n = self._gather(number[at])
+        upto = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[np.concatenate(([0], np.cumsum(per_text)))]
         return ids, np.diff(upto)
 
 
@@ -131,7 +186,7 @@ MAGIC = b"RPGS"
 _HEAD = struct.Struct("<4sBBHIIIIQQ")
 
 
-def repair(ids: np.ndarray, vocabulary: int, end_id: int, rounds: int = 4, per_round: int = 4000, least: int = 24):
+def repair(ids: np.ndarray, vocabulary: int, end_id: int, rounds: int = 2, per_round: int = 8000, least: int = 24):
     """(symbols, rules): frequent adjacent pairs become nonterminals, `per_round` pairs in a round.
     No pair begins with a symbol that closes a document, so each document stays whole symbols."""
     seq, rules, top = ids.astype(np.uint32), [], vocabulary
@@ -300,7 +355,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            for part, seq, blob in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("shard")):
+            for base, blob in zip(batch.column("base").to_pylist(), batch.column("shard")):
                 s = Shard(blob.as_buffer())
                 data = s.all_ids().astype("<u4").tobytes()
                 for a in range(0, s.n_docs, 2000):
@@ -308,22 +363,22 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
                     at = s.token_at[a : b + 1]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([part] * (b - a), pa.int32()), pa.array([seq] * (b - a), pa.int32()), pa.array(s.doc_ids[a:b], pa.int64()),
-                            pa.array(at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()),
+                            pa.array(s.doc_ids[a:b], pa.int64()), pa.array(base + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()),
                             pa.array([data[4 * x : 4 * y] for x, y in zip(at[:-1], at[1:])], pa.binary()),
                         ],
-                        names=["part", "seq", "doc_id", "local", "n_tokens", "ids"],
+                        names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    docs = shards.select("part", "seq", "shard").mapInArrow(rows, "part int, seq int, doc_id long, local long, n_tokens long, ids binary")
     sizes = shards.select("part", "seq", "n_tokens")
     # one row per written partition is ordered in one task, and the shards only inside theirs
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("of_part")).withColumn(
         "part_base", F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("of_part")
     )
     bases = sizes.withColumn("in_part", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-    bases = bases.join(parts, "part").select("part", "seq", (F.col("part_base") + F.col("in_part")).alias("base"))
-    return docs.join(bases, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
+    # read back, the list of shards has a known size: a short one is broadcast and no shard is shuffled
+    bases = store(bases.join(parts, "part").select("part", "seq", (F.col("part_base") + F.col("in_part")).alias("base")), "shard-list")
+    placed = shards.select("part", "seq", "shard").join(bases, ["part", "seq"])
+    return placed.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
