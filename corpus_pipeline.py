@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from pointloom.llm.minhash import near_duplicates
 from pointloom.llm.mixing import draw, mix
 from pointloom.llm.packing import pack_documents
 from pointloom.llm.pii import find_pii, redact
+from pointloom.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -46,12 +49,21 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack_documents(docs, "pipeline-pieces")
 
 
+def _sent(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language ID", identify_language),
-    ("MinHash near-dedup", drop_near_duplicates),
-    ("PII", redact_personal_data),
-    ("mixing sources to target weights", mix_sources),
-    ("best-fit packing", pack_sequences),
+    ("language ID", _sent(identify_language)),
+    ("MinHash near-dedup", _sent(drop_near_duplicates)),
+    ("PII", _sent(redact_personal_data)),
+    ("mixing sources to target weights", _sent(mix_sources)),
+    ("best-fit packing", _sent(pack_sequences)),
 ]
 
 # Language ID is a trained network: SQL can't express it. tests/llm holds run() against brute force.
