@@ -158,7 +158,8 @@ def training_rows(docs: DataFrame, sample: int) -> DataFrame:
     """A bounded sample of labelled rows: of the documents that may be learned from, the `sample` with
     the smallest hash of doc_id. docs has doc_id, text, lang; the hash takes no other column."""
     free = docs.where("text is not null and lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    return free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text", "lang")
+    picked = free.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()  # ids alone meet on the driver, `sample` from each task
+    return free.join(F.broadcast(picked), "doc_id", "left_semi").select("text", "lang").limit(sample)
 
 
 def train(docs: DataFrame, sample: int = 1500, per_text: int = 4, hidden: int = 8, steps: int = 400) -> BiGRU:
