@@ -397,3 +397,32 @@ def test_pack_documents(spark, docs):
     want = sorted((-1 if d is None else d, k, 2048 * k, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for (d, _), ids in zip(rows, _library([t for _, t in rows])) for k, p in enumerate([(ids + [0])[a : a + 2048] for a in range(0, len(ids) + 1, 2048)]))
     assert got == want
     assert packing.pack_documents(docs.where("false"), "test-pieces").count() == 0
+
+
+# Pipeline -----------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark, tmp_path):
+    """run() against brute force: rejected languages, groups of copies, redaction, draws, bins."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    words = "der the und and les des que los with eine house".split()
+    base = [" ".join(rng.choices(words, k=80)) + f" n{i} m{i}" for i in range(60)]
+    texts = base + base[:10] + ["12 34 !!", "", None, "mail a@b.co now " + base[0][::-1]]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [n for n, _ in cp.STAGES] == ["language ID", "MinHash near-dedup", "PII", "mixing sources to target weights", "best-fit packing"]
+    kept = docs
+    for _, stage in cp.STAGES[:-1]:
+        kept = common.store(stage(spark, kept, str(tmp_path)), "test-stage")
+        assert kept.columns == docs.columns
+    sets = _sets(base, 5)
+    near = [(a, b) for a in range(60) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = {i for i, r in _components(range(60), near).items() if i == r} | {73}
+    got = {r["doc_id"]: r for r in kept.collect()}
+    assert set(got) == want and "<EMAIL>" in got[73]["text"] and "a@b.co" not in got[73]["text"]
+    out = cp.run(spark, str(tmp_path)).collect()
+    _check_bins(out, packing.Capacity())
+    assert {r["doc_id"] for r in out} == want and len(out) == kept.count()
