@@ -47,18 +47,36 @@ def drop_stored(df: DataFrame) -> None:
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Words of an Arrow string array: runs of anything but \\x20 and \\x09-\\x0D. For each word in order
-    its place in a list of the distinct words, that list, and how many words each text has."""
+    its place in a list of words, that list (distinct before A-Z are lower-cased), and how many words each text has."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
     at, ends = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()
     words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    if lower:  # not by Arrow's ascii_lower, which reads slices of cast arrays from the wrong place
+        words = list(map(bytes.lower, words))
     if (blank := np.array([not w for w in words], bool)).any():  # beside white space at the ends of a text
         stay = ~blank[at]
         ends, at = np.concatenate(([0], np.cumsum(stay)))[ends], at[stay]
     return at, words, np.diff(ends)
 
 
+FILTER_BITS = 1 << 24
+
+
+def maybe_in(df: DataFrame, keys: list[str], known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df that may have their keys in `known`, rows that surely have not), without a shuffle of df.
+
+    A bitmap of FILTER_BITS hashed keys stands for `known`: at most FILTER_BITS / 64 rows of 64 bits, which
+    is what is broadcast, whatever the number of keys. Both parts come from one left join with it."""
+    at = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    words = known.select(at.alias("_at")).select(F.shiftright("_at", 6).alias("_word"), F.expr("shiftleft(1L, cast(_at & 63 as int))").alias("_bit"))
+    words = store(words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "bitmap")
+    marked = df.withColumn("_at", at).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(words), "_word", "left")
+    hit = F.expr("coalesce(shiftright(_bits, cast(_at & 63 as int)) & 1L, 0L) = 1L")
+    return tuple(marked.where(c).select(*df.columns) for c in (hit, ~hit))
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)

@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, split_words, store
+from .common import components, drop_stored, maybe_in, split_words, store
 from .tokens import slices
 
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * _M1
     x = (x ^ (x >> np.uint64(33))) * _M2
@@ -36,11 +25,11 @@ class Shingler:
     anything but \\x20 and \\x09-\\x0D after lower-casing A-Z; fewer than k words are one shingle."""
 
     def __init__(self, k: int):
-        self.k, self.words = k, _WordHashes()
+        self.k = k
 
     def __call__(self, texts: pa.Array):
         at, words, counts = split_words(texts, lower=True)
-        hashes = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))[at] if words else np.zeros(0, np.uint64)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[at] if words else np.zeros(0, np.uint64)
         end = 0
         for n in counts.tolist():
             h, end = hashes[end : end + n], end + n
@@ -55,12 +44,6 @@ class Shingler:
             yield np.unique(_mix(out))
 
 
-@functools.cache
-def shingler_for(k: int) -> Shingler:
-    """One for each Python worker, which keeps its word hashes from task to task."""
-    return Shingler(k)
-
-
 class Signer:
     """`trees` orders of `depth` MinHash values each, as big-endian bytes, so that bytes sort as values do."""
 
@@ -83,7 +66,7 @@ def signatures(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
     """(doc_id, n, h1, h2, sig): set size, a 128-bit hash of the set, and the signature."""
 
     def sign(batches):
-        shingler, signer = shingler_for(k), Signer(trees, depth)
+        shingler, signer = Shingler(k), Signer(trees, depth)
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text")
             for a, b in slices(texts):
@@ -97,6 +80,44 @@ def signatures(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, sig binary")
 
 
+def tree_rows(rows: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(tree, key, id, n): each row of rows(id, n, sig) in every tree."""
+    width = 4 * depth
+    each = rows.select("id", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    return each.select("tree", F.substring("sig", F.col("tree") * width + 1, F.lit(width)).alias("key"), "id", "n")
+
+
+def _arrays(batch: pa.RecordBatch, depth: int) -> tuple[np.ndarray, ...]:
+    key = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").reshape(-1, depth).astype(np.int64)
+    return batch.column("tree").to_numpy().astype(np.int64), key, batch.column("id").to_numpy(), batch.column("n").to_numpy()
+
+
+def wide_candidates(order: DataFrame, depth: int, least_depth: int, window: int, percent: int) -> DataFrame:
+    """(a, b) of rows(tree, key, id, n, component, open) within `window` places of each other in an order,
+    with a common prefix, in different components and at least one of them open."""
+    order = order.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+
+    def neighbours(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = (*_arrays(batch, depth), batch.column("component").to_numpy(), batch.column("open").to_numpy(zero_copy_only=False))
+            carried = len(held[0]) if held is not None else 0
+            tree, key, ids, n, component, open_ = (np.concatenate([x, y]) for x, y in zip(held, now)) if held is not None else now
+            found = []
+            for w in range(1, min(window + 1, len(ids))):
+                at = np.arange(max(w, carried), len(ids))
+                at = at[(open_[at] | open_[at - w]) & (tree[at] == tree[at - w]) & (component[at] != component[at - w])]
+                at = at[(key[at, :least_depth] == key[at - w, :least_depth]).all(axis=1) & (100 * np.minimum(n[at], n[at - w]) >= percent * np.maximum(n[at], n[at - w]))]
+                found.append(np.stack([np.maximum(ids[at], ids[at - w]), np.minimum(ids[at], ids[at - w])]))
+            held = tuple(x[-window:] for x in (tree, key, ids, n, component, open_))
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return order.mapInArrow(neighbours, "a long, b long").distinct()
+
+
 def forest_candidates(rows: DataFrame, trees: int, depth: int, least_depth: int, levels: tuple[int, ...], window: int, percent: int) -> DataFrame:
     """From rows(id, n, sig): neighbours (a, b, run null) in the sorted orders, and memberships
     (a, b null, run) in regions: rows that share a prefix of a level's depth with a neighbour.
@@ -105,19 +126,14 @@ def forest_candidates(rows: DataFrame, trees: int, depth: int, least_depth: int,
     spread over tasks too. A row is compared with the `window` rows before it while their common
     prefix has least_depth values or more; the prefix that neighbours share is as deep as the region
     is dense. Pairs whose sizes rule out the threshold are left out."""
-    width = 4 * depth
-    order = rows.select("id", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    order = order.select("tree", F.substring("sig", F.col("tree") * width + 1, F.lit(width)).alias("key"), "id", "n")
-    order = order.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    order = tree_rows(rows, trees, depth).repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
 
     def neighbours(batches):
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree = batch.column("tree").to_numpy().astype(np.int64)
-            key = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").reshape(-1, depth).astype(np.int64)
-            ids, n = batch.column("id").to_numpy(), batch.column("n").to_numpy()
+            tree, key, ids, n = _arrays(batch, depth)
             carried = 0
             if held is not None:
                 carried = len(held[0])
@@ -129,7 +145,8 @@ def forest_candidates(rows: DataFrame, trees: int, depth: int, least_depth: int,
                 fresh = np.arange(max(w, carried), len(ids))
                 same = np.cumprod(key[fresh] == key[fresh - w], axis=1).sum(axis=1) * (tree[fresh] == tree[fresh - w])
                 x, y = n[fresh], n[fresh - w]
-                ok = fresh[(same >= least_depth) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (ids[fresh] != ids[fresh - w])]
+                deep = depth if w == 1 else depth - 1  # equal keys are a dense region, which leaders join: one neighbour each
+                ok = fresh[(same >= least_depth) & (same <= deep) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (ids[fresh] != ids[fresh - w])]
                 a.append(np.maximum(ids[ok], ids[ok - w]))
                 b.append(np.minimum(ids[ok], ids[ok - w]))
                 if w == 1:
@@ -165,32 +182,61 @@ def sets(shingler: Shingler, texts: pa.Array):
         yield from shingler(texts.slice(a, b - a))
 
 
+NEAR_MISS = 5
+CROWD = 16
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
+    """(a, b, linked) of the pairs whose full shingle sets have 100 * intersection >= percent * union,
+    and of those that miss that by up to NEAR_MISS percent points, which are not linked."""
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    texts = maybe_in(texts, ["id"], needed)[0]
     joined = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def check(batches):
-        shingler = shingler_for(k)
+        shingler = Shingler(k)
         for batch in batches:
             out = []
             left, right = (sets(shingler, batch.column(c)) for c in ("text_a", "text_b"))
             for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), left, right):
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+                union = len(x) + len(y) - both
+                if 100 * both >= (percent - NEAR_MISS) * union:
+                    out.append((a, b, 100 * both >= percent * union))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "linked"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, depth: int = 8, least_depth: int = 4, levels: tuple[int, ...] = (4, 8), window: int = 3) -> DataFrame:
+def with_components(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """pairs(a, b, ..) with c_a and c_b, their ends' components."""
+    for side in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+    return pairs
+
+
+def open_ends(tested: DataFrame, of: DataFrame) -> DataFrame:
+    """(id): of each near miss between two components, one of them a crowd, the end in the smaller one,
+    or both ends. Among fewer than CROWD classes the orders' neighbours have met already."""
+    apart = with_components(tested.where("not linked").select("a", "b"), of).where("c_a != c_b")
+    size = of.groupBy("component").agg((F.count("*") + 1).alias("size"))
+    for side in ("a", "b"):
+        apart = apart.join(size.select(F.col("component").alias(f"c_{side}"), F.col("size").alias(f"s_{side}")), f"c_{side}", "left").withColumn(f"s_{side}", F.coalesce(f"s_{side}", F.lit(1)))
+    apart = apart.where(F.greatest("s_a", "s_b") >= CROWD)
+    return apart.where("s_a <= s_b").select(F.col("a").alias("id")).union(apart.where("s_b <= s_a").select("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 24, depth: int = 8, least_depth: int = 3, levels: tuple[int, ...] = (3, 8), window: int = 2, wide_trees: int = 8, wide_window: int = 48) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for docs(doc_id, text), one row per input row.
 
     Documents link when 100 * intersection >= percent * union of their k-word shingle sets. Equal
     sets are one class, found by a 128-bit hash of the set and never expanded into pairs. Classes
     meet as neighbours in the forest's orders and through region leaders; each candidate is
     confirmed on full sets unless its ends are already in one component. First each class's most
-    frequent candidate is confirmed, then all candidates between different components.
+    frequent candidate is confirmed, then all candidates between different components. A class that
+    has only just missed a crowd of near copies looks further along wide_trees of the orders,
+    wide_window places each way, until no round finds a link: in a crowd the right partner may lie
+    behind many others.
 
     A null or blank text has an empty set and links with nothing. Rows that share a doc_id are one
     node; a null doc_id links with nothing and keeps a null component_id. An empty table gives an
@@ -199,23 +245,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     rows = store(signatures(docs, k, trees, depth), "signatures")
     known = rows.where("n > 0 and doc_id is not null")
     classes = store(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")), "classes")
-    firsts = known.join(classes.select("h1", "h2", F.col("id").alias("doc_id")), ["h1", "h2", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sig")
+    # sets that occur once go on as they are; of the others the row with the smallest doc_id does
+    twice = classes.where("rows > 1").select("h1", "h2", F.col("id").alias("doc_id"))
+    some, single = maybe_in(known, ["h1", "h2"], twice)
+    some = some.join(twice.withColumnRenamed("doc_id", "_id"), ["h1", "h2"], "left").where("_id is null or _id = doc_id").drop("_id")
+    firsts = single.unionByName(some.dropDuplicates(["h1", "h2", "doc_id"])).select(F.col("doc_id").alias("id"), "n", "sig")
     found = store(forest_candidates(firsts, trees, depth, least_depth, levels, window, percent), "neighbours")
     pairs = found.where("run is null").select("a", "b").union(leader_pairs(found.where("run is not null").select("a", "run")))
     pairs = store(pairs.groupBy("a", "b").agg(F.count("*").alias("seen")), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = store(texts.join(ends, "id"), "candidate-texts")
-    sided = pairs.select(F.explode(F.array(F.struct("a", "b", F.col("a").alias("me")), F.struct("a", "b", F.col("b").alias("me")))).alias("p"), "seen").select("p.*", "seen")
-    best = sided.groupBy("me").agg(F.max_by(F.struct("a", "b"), F.struct("seen", -F.col("b"), -F.col("a"))).alias("p")).select("p.*").distinct()
-    links = store(confirm(best, texts, k, percent), "links")
-    of = store(components(links, "a", "b"), "components")
-    rest = pairs.select("a", "b")
-    for side in ("a", "b"):
-        rest = rest.join(of.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-    rest = rest.where("c_a != c_b").select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = store(confirm(rest, texts, k, percent), "links")
-    of = components(links.union(more), "a", "b")
     drop_stored(found)
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = store(maybe_in(texts, ["id"], ends)[0].join(ends, "id"), "candidate-texts")
+    sided = pairs.select("a", "b", "seen", F.col("a").alias("me")).union(pairs.select("a", "b", "seen", F.col("b").alias("me")))
+    best = store(sided.groupBy("me").agg(F.max_by(F.struct("a", "b"), F.struct("seen", -F.col("b"), -F.col("a"))).alias("p")).select("p.*").distinct(), "best")
+    tested = store(confirm(best, texts, k, percent), "tested")
+    of = store(components(tested.where("linked"), "a", "b"), "components")
+    rest = store(with_components(pairs.select("a", "b"), of).where("c_a != c_b").select("a", "b").join(best, ["a", "b"], "left_anti"), "rest")
+    tested = store(tested.union(confirm(rest, texts, k, percent)), "tested")
+    asked = pairs.select("a", "b")
+    while True:
+        of = store(components(tested.where("linked"), "a", "b"), "components")
+        open_ = store(open_ends(tested, of), "open")
+        if not open_.limit(1).count():
+            break
+        order = tree_rows(maybe_in(firsts, ["id"], ends)[0].join(ends, "id", "left_semi"), min(trees, wide_trees), depth).withColumn("region", F.substring("key", 1, 4 * least_depth))
+        regions = order.join(open_, "id", "left_semi").select("tree", "region").distinct()
+        order = order.join(regions, ["tree", "region"], "left_semi").join(open_.withColumn("open", F.lit(True)), "id", "left").join(of, "id", "left")
+        order = order.select("tree", "key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("open", F.lit(False)).alias("open"))
+        fresh = store(wide_candidates(order, depth, least_depth, wide_window, percent).join(asked, ["a", "b"], "left_anti"), "wide")
+        more = store(confirm(fresh, texts, k, percent), "tested")
+        asked, tested = asked.union(fresh), tested.union(more)
+        if not more.where("linked").limit(1).count():
+            break
     named = classes.join(of, "id", "left").select("h1", "h2", "rows", "id", F.coalesce("component", "id").alias("component"))
     named = named.where("rows > 1 or component != id").select("h1", "h2", "component")
     plain = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
