@@ -570,11 +570,12 @@ def m1(s, d):
     return maps.voxel_fold(views.cloud_li(s, d), 2.0).select("key", "n", "sx", "sy", "sz", "si", "last_update")
 
 
-@query("m1_voxel_insert", f"SELECT {key_sql(2)} AS key, count(*) AS n, sum(x) AS sx, CAST(max(CASE WHEN frame_id = 2 THEN 2 ELSE 1 END) AS BIGINT) AS last_update FROM li WHERE frame_id <= 2 GROUP BY 1", "li")
+@query("m1_voxel_insert", f"SELECT {key_sql(2)} AS key, count(*) AS n, sum(x) AS sx, max(frame_id) AS last_update FROM li GROUP BY 1", "li")
 def m1i(s, d):
+    """Frame by frame, each merged into the map so far."""
     li, p = views.cloud_li(s, d), maps.VoxelMapParams(2.0)
     state = maps.empty_map(s)
-    for k in (1, 2):
+    for k in range(1, 8):
         state = maps.voxel_insert(state, li.where(F.col("frame_id") == k), k, p)
     return state.select("key", "n", "sx", "last_update")
 
@@ -589,10 +590,10 @@ def m4(s, d):
     return maps.voxel_extract(maps.voxel_fold(views.cloud_li(s, d), 2.0), (20.0, 20.0, 0.0), 20.0, 3).select("key", "n", *E.XYZ, "intensity")
 
 
-@query("m5_voxel_overlap", f", m AS (SELECT {key_sql(2)} AS key, count(*) AS n FROM li WHERE frame_id <= 2 GROUP BY 1) SELECT CAST(count(*) FILTER (n >= 2) AS DOUBLE)/count(*) AS overlap FROM li LEFT JOIN m ON key = {key_sql(2)}", "li")
+@query("m5_voxel_overlap", f", m AS (SELECT {key_sql(2)} AS key, count(*) AS n FROM li GROUP BY 1) SELECT CAST(count(*) FILTER (n >= 40) AS DOUBLE)/count(*) AS overlap FROM li LEFT JOIN m ON key = {key_sql(2)}", "li")
 def m5(s, d):
     li = views.cloud_li(s, d)
-    return maps.voxel_overlap(li, maps.voxel_fold(li.where("frame_id <= 2"), 2.0), 2.0, 2)
+    return maps.voxel_overlap(li, maps.voxel_fold(li, 2.0), 2.0, 40)
 
 
 @query("m6_occupancy_hits", f"SELECT {key_sql(2)} AS key, count(*) AS hit_count, sum(x) AS sx, sum(intensity) AS si FROM li GROUP BY 1", "li")
