@@ -185,42 +185,67 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Near duplicates ----------------------------------------------------------------------------------
 
 
-def robust_prune(near: np.ndarray, alpha: float = 1.0, block: int = 512) -> np.ndarray:
+def _prune(near: np.ndarray, names: np.ndarray, left: np.ndarray, alpha: float) -> list[np.ndarray]:
+    """For each of some points, (row, point) pairs of candidates that stay: the nearest is kept again and
+    again, and those go that it is more than alpha times closer to than the point is. Candidate c of
+    row i is the point names[i, c] at squared distance left[i, c], inf for none; left is used up."""
+    kept, at = [], np.arange(len(left))
+    while len(at):
+        j = left[at].argmin(axis=1)
+        live = np.isfinite(left[at, j])
+        at, j = at[live], j[live]
+        z, mine = names[at, j], left[at]
+        kept.append(np.stack([at, z]))
+        mine[(alpha * alpha) * near[z[:, None], names[at]] < mine] = np.inf
+        mine[np.arange(len(at)), j] = np.inf
+        left[at] = mine
+    return kept
+
+
+def robust_prune(near: np.ndarray, radius: float, alpha: float = 1.0, block: int = 64, pool: int = 96) -> np.ndarray:
     """Out-neighbours of each point, from the squared distances of all to all, as a matrix filled up
-    with the point itself. Going by distance, a candidate stays unless a kept one is more than alpha
-    times closer to it than the point is. Every other point is a candidate and the degree has no
-    bound, so for any two points some neighbour of the first is closer to the second, or is it: a
-    greedy walk towards a point of the graph arrives from anywhere."""
+    with the point itself. Candidates are the `pool` nearest and all within `radius`; going by
+    distance, one stays unless a kept one is more than alpha times closer to it than the point is.
+    The degree has no bound, so from any point p each point y within radius of it can be reached by
+    neighbours that come closer to y at every step."""
     n = len(near)
-    edges = []
+    edges, every = [], np.arange(n)
     for a in range(0, n, block):
-        rows, left = np.arange(a, min(a + block, n)), near[a : a + block].copy()
+        rows = np.arange(a, min(a + block, n))
+        left = near[rows]
         left[np.arange(len(rows)), rows] = np.inf
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(rows):
-            j = left.argmin(axis=1)
-            live = np.isfinite(left[np.arange(len(rows)), j])
-            if not live.all():
-                rows, left, j = rows[live], left[live], j[live]
-                if not len(rows):
-                    break
-            kept.append((rows, j))
-            left[(alpha * alpha) * near[j] < left] = np.inf
-            left[np.arange(len(rows)), j] = np.inf
-        edges.append(kept)
-    out = np.repeat(np.arange(n)[:, None], max([1, *map(len, edges)]), axis=1)
-    for kept in edges:
-        for k, (r, j) in enumerate(kept):
-            out[r, k] = j
+        if n <= 2 * pool:
+            edges += [e + [[a], [0]] for e in _prune(near, np.broadcast_to(every, left.shape), left, alpha)]
+            continue
+        names = np.argpartition(left, pool, axis=1)[:, :pool]
+        some = np.take_along_axis(left, names, 1)
+        crowd = some.max(axis=1) <= radius * radius  # more than the pool may lie within the radius
+        edges += [np.stack([rows[~crowd][e[0]], e[1]]) for e in _prune(near, names[~crowd], some[~crowd], alpha)]
+        if crowd.any():
+            whole = left[crowd]
+            width = max(pool, int((whole <= radius * radius).sum(axis=1).max()))
+            names = np.argpartition(whole, width - 1, axis=1)[:, :width]
+            edges += [np.stack([rows[crowd][e[0]], e[1]]) for e in _prune(near, names, np.take_along_axis(whole, names, 1), alpha)]
+    degree = np.zeros(n, np.int64)
+    for r, _ in edges:
+        degree[r] += 1
+    out = np.repeat(every[:, None], max(1, int(degree.max(initial=1))), axis=1)
+    degree[:] = 0
+    for r, z in edges:
+        out[r, degree[r]] = z
+        degree[r] += 1
     return out
 
 
-def range_search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, radius: float, block: int = 128):
-    """(query, row, squared distance) of all rows of x within radius of each q, all of unit length.
+def range_search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, radius: float, own: np.ndarray, block: int = 128):
+    """(query, row, squared distance) of all rows of x within radius of each q, all of unit length;
+    own[i] is the row that is q[i] itself, or -1.
 
-    A greedy walk from the medoid ends at a row p at distance e; then the search expands over rows
-    within e + 2 * radius. On a graph of robust_prune() that misses nothing: each row y within radius
-    is reached from p by rows that come ever closer to y, and so stay within e + 2 * radius of q."""
+    A greedy walk from the medoid comes to a row near q. Where it has not arrived at the nearest row,
+    the search goes on from q's own row, or from its nearest one if q is no row: at distance e, it
+    expands over rows within e + 2 * radius. With e up to radius, on a graph of robust_prune() for
+    twice the radius, that misses nothing: each row y within radius of q is reached by rows that come
+    ever closer to y, and so stay within e + 2 * radius of q. With a larger e there is no such y."""
     medoid = int(((x - x.mean(0)) ** 2).sum(1).argmin())
     width = graph.shape[1]
     for a in range(0, len(q), block):
@@ -239,6 +264,11 @@ def range_search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, radius: float,
                 at[who[better]], best[who[better]] = graph[at[who[better]], k[better]], d[better]
                 moved.append(who[better])
             active = np.concatenate(moved)
+        rows = own[a : a + block]
+        if (stray := np.flatnonzero((rows < 0) & (best > 1e-12))).size:
+            at[stray] = distances(part[stray], x).argmin(1)
+        at = np.where(rows >= 0, rows, at)
+        best = ((part - x[at]) ** 2).sum(1)
         limit = (np.sqrt(best) + 2 * radius) ** 2 * (1 + 1e-9) + 1e-12
         seen = np.zeros((len(part), len(x)), bool)
         who, node = np.arange(len(part)), at
@@ -309,9 +339,16 @@ def _flat_graph_links(classes: DataFrame, centroids: np.ndarray, threshold: floa
             return found
         q, x = (_unit(matrix(t.column("embedding").combine_chunks())) for t in (left, right))
         rows = right.column("rows").to_numpy()
-        graph = robust_prune(distances(x, x).astype(np.float32))
+        flat = x.astype(np.float32)
+        near = flat @ flat.T
+        near *= -2
+        near += 2
+        graph = robust_prune(np.maximum(near, 0, out=near), 2 * radius)
+        order = np.argsort(ids[1], kind="stable")
+        place = order[np.minimum(np.searchsorted(ids[1][order], ids[0]), len(order) - 1)]
+        own = np.where((ids[1][place] == ids[0]) & (q == x[place]).all(axis=1), place, -1)
         links, a, b = np.zeros(len(q), np.int64), [], []
-        for who, node, _ in range_search(q, x, graph, radius):
+        for who, node, _ in range_search(q, x, graph, radius, own):
             true = (ids[0][who] != ids[1][node]) & ((q[who] * x[node]).sum(1) >= threshold)
             who, node = who[true], node[true]
             links += np.bincount(who, weights=rows[node], minlength=len(q)).astype(np.int64)
@@ -333,7 +370,7 @@ def _flat_graph_links(classes: DataFrame, centroids: np.ndarray, threshold: floa
     return store(asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "id long, links long, root long"), "vector-links")
 
 
-def near_vectors(df: DataFrame, threshold: float = 0.98, cluster_rows: int = 4000, shard_rows: int = 8000, slack: float = 0.16, sample: int = 8000, audit: int = 200) -> DataFrame:
+def near_vectors(df: DataFrame, threshold: float = 0.98, cluster_rows: int = 8000, shard_rows: int = 8000, slack: float = 0.16, sample: int = 8000, audit: int = 200) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of df(vec_id, embedding, label).
 
     Rows link when their labels are equal and not null and their cosine, in double precision, is at
@@ -361,7 +398,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, cluster_rows: int = 400
     k = min(-(-most // cluster_rows), max(1, len(known) // 8))
     centroids = _unit(kmeans(_unit(known), k)) if k > 1 else np.zeros((0, dim))
     picked = classes.orderBy(F.xxhash64("id"), "id").limit(audit).collect()
-    own, own_label, own_id = np.array([r["embedding"] for r in picked]).reshape(-1, dim), np.array([r["label"] for r in picked]), np.array([r["id"] for r in picked], np.int64)
+    own, own_label, own_id = np.array([r["embedding"] for r in picked]).reshape(len(picked), dim), np.array([r["label"] for r in picked]), np.array([r["id"] for r in picked], np.int64)
 
     def scan(batches):
         total, asked = np.zeros(len(own_id), np.int64), _unit(own)
