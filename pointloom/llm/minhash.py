@@ -248,8 +248,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     # sets that occur once go on as they are; of the others the row with the smallest doc_id does
     twice = classes.where("rows > 1").select("h1", "h2", F.col("id").alias("doc_id"))
     some, single = maybe_in(known, ["h1", "h2"], twice)
-    some = some.join(twice.withColumnRenamed("doc_id", "_id"), ["h1", "h2"], "left").where("_id is null or _id = doc_id").drop("_id")
-    firsts = single.unionByName(some.dropDuplicates(["h1", "h2", "doc_id"])).select(F.col("doc_id").alias("id"), "n", "sig")
+    lead = some.join(twice, ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2", "doc_id"])  # dealt by doc_id too
+    firsts = single.unionByName(some.join(twice, ["h1", "h2"], "left_anti")).unionByName(lead).select(F.col("doc_id").alias("id"), "n", "sig")
     found = store(forest_candidates(firsts, trees, depth, least_depth, levels, window, percent), "neighbours")
     pairs = found.where("run is null").select("a", "b").union(leader_pairs(found.where("run is not null").select("a", "run")))
     pairs = store(pairs.groupBy("a", "b").agg(F.count("*").alias("seen")), "candidates")
@@ -263,12 +263,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     rest = store(with_components(pairs.select("a", "b"), of).where("c_a != c_b").select("a", "b").join(best, ["a", "b"], "left_anti"), "rest")
     tested = store(tested.union(confirm(rest, texts, k, percent)), "tested")
     asked = pairs.select("a", "b")
+    near = store(maybe_in(firsts, ["id"], ends)[0].join(ends, "id", "left_semi"), "candidate-signatures")
     while True:
         of = store(components(tested.where("linked"), "a", "b"), "components")
         open_ = store(open_ends(tested, of), "open")
         if not open_.limit(1).count():
             break
-        order = tree_rows(maybe_in(firsts, ["id"], ends)[0].join(ends, "id", "left_semi"), min(trees, wide_trees), depth).withColumn("region", F.substring("key", 1, 4 * least_depth))
+        order = tree_rows(near, min(trees, wide_trees), depth).withColumn("region", F.substring("key", 1, 4 * least_depth))
         regions = order.join(open_, "id", "left_semi").select("tree", "region").distinct()
         order = order.join(regions, ["tree", "region"], "left_semi").join(open_.withColumn("open", F.lit(True)), "id", "left").join(of, "id", "left")
         order = order.select("tree", "key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("open", F.lit(False)).alias("open"))
