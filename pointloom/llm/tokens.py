@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import split_words, store
 
 VOCABULARY = 49408
-SUB_BATCH_BYTES = 4 << 20
+SUB_BATCH_BYTES = 2 << 20
 MARKS = b".,;:!?"
 
 
@@ -45,7 +45,7 @@ class WordEncoder:
     numpy gathers the ids. When the word table passes `limit`, it
     drops what one batch alone has had, so memory is bounded."""
 
-    def __init__(self, path: str, limit: int = 1_100_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
