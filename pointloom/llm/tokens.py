@@ -156,9 +156,9 @@ class WordEncoder:
 
 
 @functools.cache
-def encoder_for(path: str) -> WordEncoder:
+def encoder_for(path: str, limit: int = 800_000) -> WordEncoder:
     """One encoder for each Python worker, which keeps its word table from task to task."""
-    return WordEncoder(path)
+    return WordEncoder(path, limit)
 
 
 def slices(texts: pa.Array, most: int = SUB_BATCH_BYTES):
@@ -171,11 +171,11 @@ def slices(texts: pa.Array, most: int = SUB_BATCH_BYTES):
         at = to
 
 
-def encoded(batches, encoder: WordEncoder, end_id: int):
+def encoded(batches, encoder: WordEncoder, end_id: int, most: int = SUB_BATCH_BYTES):
     """For Arrow batches with doc_id and text: (doc ids, ids with the end id, lengths) in pieces of bounded text."""
     for batch in batches:
         keys, texts = batch.column("doc_id"), batch.column("text")
-        for a, b in slices(texts):
+        for a, b in slices(texts, most):
             ids, n = encoder.encode(texts.slice(a, b - a))
             yield keys.slice(a, b - a).to_pylist(), np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1
 
@@ -310,7 +310,7 @@ class Shard:
 SHARDS = "part int, seq int, n_docs long, n_tokens long, shard binary"
 
 
-def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, shard_tokens: int = 1 << 20) -> DataFrame:
+def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, shard_tokens: int = 1 << 20, table_words: int = 1_100_000) -> DataFrame:
     """Writes the ids of `docs` (doc_id, text; other columns are ignored) as shard files in ascending
     doc_id order, and returns the written table of shards, ordered by (part, seq).
 
@@ -335,7 +335,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: in
             keys, ids, lengths, held, seq = [], [], [], 0, seq + 1
             return row
 
-        for k, i, n in encoded(batches, encoder_for(path), end_id):
+        for k, i, n in encoded(batches, encoder_for(path, table_words), end_id, 2 * SUB_BATCH_BYTES):
             keys += k
             ids.append(i)
             lengths.append(n)
