@@ -19,6 +19,29 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
 }
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
+
+def _iban_tries() -> str:
+    """A place where an IBAN may begin, without its characters: group 1 is the text cut to its country's
+    length, group 2 the longest text that PATTERNS proposes. A group that does not match is empty."""
+    by_length = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    cut = "|".join(rf"(?:{'|'.join(c)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items()))
+    longest = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?=({cut})(?![A-Za-z0-9])))?(?:(?=({longest})(?![A-Za-z0-9])))?"
+
+
+IBAN_TRIES = _iban_tries()
 BASE = ("email", "ip", "card", "phone")
 # Gates that are cheap to miss; a text that fails one has no match of the kind.
 GATES = {
@@ -75,7 +98,7 @@ def _valid(kind: str, text: Column) -> Column:
         return F.when(F.length(_digits(text)).between(13, 19), luhn(_digits(text))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(text)).between(9, 15)
-    return mod97(text) if kind == "iban" else F.lit(True)
+    return F.lit(True)
 
 
 def find_kind(text: Column, kind: str) -> Column:
@@ -94,6 +117,27 @@ def find_kind(text: Column, kind: str) -> Column:
     return F.when(GATES[kind](text), found).otherwise(F.array().cast(SPAN))
 
 
+def find_ibans(text: Column) -> Column:
+    """Spans of IBANs in order. Each place where one may begin is tried by itself, so a text that fails
+    its checksum hides none that begins inside it: first cut to its country's length, so that a word
+    after it is left alone, then as long as PATTERNS proposes. Of overlapping spans the first stays."""
+    line = F.concat(F.lit("\n"), text)  # split() drops the empty piece before an empty match at the start
+    tries = [F.regexp_extract_all(line, F.lit(IBAN_TRIES), F.lit(i)) for i in (1, 2)]
+    pieces = F.zip_with(F.split(line, IBAN_TRIES, -1), F.arrays_zip(tries[0].alias("cut"), tries[1].alias("longest")), lambda g, h: F.struct(F.length(g).cast("long").alias("gap"), h["cut"].alias("cut"), h["longest"].alias("longest")))
+    passes = lambda c: F.when(F.length(c) > 0, mod97(c)).otherwise(False)
+
+    def step(acc: Column, p: Column) -> Column:
+        at = acc["at"] + p["gap"]
+        hit = F.when(passes(p["cut"]), p["cut"]).when(passes(p["longest"]), p["longest"])
+        end = at + F.length(hit).cast("long")
+        one = F.array(F.struct(F.lit("iban").alias("kind"), at.alias("start"), end.alias("end"), hit.alias("text"))).cast(SPAN)
+        fresh = hit.isNotNull() & (at >= acc["upto"])
+        return F.struct(at.alias("at"), F.when(fresh, end).otherwise(acc["upto"]).alias("upto"), F.when(fresh, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+
+    zero = F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("upto"), F.array().cast(SPAN).alias("found"))
+    return F.when(GATES["iban"](text), F.aggregate(pieces, zero, step)["found"]).otherwise(F.array().cast(SPAN))
+
+
 def scored(text: Column, spans: Column) -> Column:
     """Each span with a score from 0 to 1: its kind's, raised by a context word within CONTEXT_CHARS."""
 
@@ -111,7 +155,7 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """Adds column `out`: the spans of every kind, ordered by kind as in PATTERNS and then by start,
     each with kind, start, end (code points, end exclusive), text and score. A null text has none;
     other columns, rows and their number stay as they are."""
-    spans = F.concat(*(find_kind(F.col("_t"), k) for k in PATTERNS))
+    spans = F.concat(*(find_ibans(F.col("_t")) if k == "iban" else find_kind(F.col("_t"), k) for k in PATTERNS))
     found = df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_s", spans)
     return found.withColumn(out, scored(F.col("_t"), F.col("_s"))).drop("_t", "_s")
 

@@ -325,6 +325,24 @@ def test_pii(spark):
     assert pii.find_pii(df.where("false")).count() == 0
 
 
+def test_iban_before_other_words(spark):
+    """An IBAN followed by capitals or numbers, or that begins inside another proposal, is found whole."""
+    from pyspark.sql import functions as F
+
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    cases = [
+        ("DE89370400440532013000 EUR 50", ["DE89370400440532013000"]), ("x DE89370400440532013000 2024 paid", ["DE89370400440532013000"]),
+        (f"{german} I paid", [german]), (f"é😀 {german} BIC COBADEFFXXX", [german]), (f"{german} {british} {german}", [german, british, german]),
+        (f"AB12 3456 {british} 7", [british]), (f"DE12 3456 {german} EUR", [german]), (german[:-1] + "1 EUR", []), ("DE89370400440532013000EUR", []),
+        (f"{german}", [german]), (british + " OK" * 5000, [british]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")
+    for r in pii.find_pii(df).withColumn("red", pii.redact(F.col("text"), F.col("pii"))).collect():
+        found = [s for s in r["pii"] if s["kind"] == "iban"]
+        assert [s["text"] for s in found] == cases[r["i"]][1], r["text"][:80]
+        assert all(r["text"][s["start"] : s["end"]] == s["text"] for s in found) and not any(x in r["red"] for x in cases[r["i"]][1])
+
+
 # Mixing and packing -------------------------------------------------------------------------------
 
 
