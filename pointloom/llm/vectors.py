@@ -312,6 +312,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _flat_graph_links(classes: DataFrame, centroids: np.ndarray, threshold: float, slack: float, shard_rows: int) -> DataFrame:
     """Rows (id, links, null) with the links that a class has in one shard, and (id, null, root)."""
     radius = float(np.sqrt(max(2 - 2 * threshold, 0)))
+    apart = np.sqrt(((centroids[:, None] - centroids[None]) ** 2).sum(2)) if len(centroids) else np.zeros((1, 1))
 
     def assign(batches):
         for b in batches:
@@ -320,7 +321,8 @@ def _flat_graph_links(classes: DataFrame, centroids: np.ndarray, threshold: floa
                 continue
             near = x @ centroids.T if len(centroids) else np.zeros((len(x), 1))
             home = near.argmax(1)
-            row, shard = np.nonzero(near >= near.max(1, keepdims=True) - slack)
+            below = near.max(1, keepdims=True) - near
+            row, shard = np.nonzero((below <= radius * apart[home] + 1e-9) | (below <= slack))
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column("label").take(at), pa.array(shard, pa.int64()), pa.array(home[row] == shard), b.column("id").take(at), b.column("rows").take(at), b.column("embedding").take(at)], names=["label", "shard", "home", "id", "rows", "embedding"])
 
@@ -370,18 +372,20 @@ def _flat_graph_links(classes: DataFrame, centroids: np.ndarray, threshold: floa
     return store(asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "id long, links long, root long"), "vector-links")
 
 
-def near_vectors(df: DataFrame, threshold: float = 0.98, cluster_rows: int = 8000, shard_rows: int = 8000, slack: float = 0.16, sample: int = 8000, audit: int = 200) -> DataFrame:
+def near_vectors(df: DataFrame, threshold: float = 0.98, cluster_rows: int = 8000, shard_rows: int = 8000, slack: float = 0.0, sample: int = 8000, audit: int = 200) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of df(vec_id, embedding, label).
 
     Rows link when their labels are equal and not null and their cosine, in double precision, is at
     least `threshold`. Equal vectors of a label are one class that is never expanded into pairs. A
-    class lies in the shard of its nearest centroid and of all whose similarity is within `slack` of
-    that; each shard becomes a robust-pruned graph, searched from its medoid. A shard of more than
+    class x lies in the shard of its nearest centroid c and of each c' where its similarity is lower by
+    no more than the link radius times |c - c'|, or by no more than `slack`. A class y that is nearest to
+    c' and links with x has y.c' >= y.c, so x.c - x.c' <= (x - y).(c - c') <= radius * |c - c'|: y meets x
+    in y's own shard, and no count or link is lost whatever `slack` is. Each shard becomes a robust-pruned graph, searched from its medoid. A shard of more than
     shard_rows classes is searched in parts, each part against each, so a crowd of unequal near
     copies is spread over tasks. What goes between tasks are counts and one root a class.
 
-    The audit compares the links of a bounded sample of classes with a full scan. If any is missing,
-    all is searched again with the slack that provably loses none (twice the link radius).
+    The audit is only a check: it compares the links of a bounded sample of classes with a full scan
+    and raises RuntimeError if any is missing.
 
     Vectors that are null, zero or hold null or non-finite components, null labels and null vec_ids
     link with nothing: n_links 0, component_id their vec_id. Vectors of another length than most of
@@ -409,15 +413,12 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, cluster_rows: int = 800
                 total += hit @ b.column("rows").to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(own_id), pa.array(total)], names=["id", "expected"])
 
-    while True:
-        found = _flat_graph_links(classes, centroids, threshold, slack, shard_rows)
-        counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
-        if len(centroids) == 0 or slack >= 2 * np.sqrt(2 - 2 * threshold):
-            break
+    found = _flat_graph_links(classes, centroids, threshold, slack, shard_rows)
+    counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
+    if len(centroids):
         true = classes.mapInArrow(scan, "id long, expected long").groupBy("id").agg(F.sum("expected").alias("expected"))
-        if not true.join(counts, "id", "left").where("expected > coalesce(links, 0)").limit(1).count():
-            break
-        slack = 2 * float(np.sqrt(2 - 2 * threshold))
+        if true.join(counts, "id", "left").where("expected > coalesce(links, 0)").limit(1).count():
+            raise RuntimeError("links of the audited vectors are missing")
     of = components(found.where("root is not null"), "id", "root")
     copies = classes.where("rows > 1").select("label", "embedding", F.col("id").alias("_id"), "rows")
     named = good.join(copies, ["label", "embedding"], "left").select("_row", "vec_id", F.coalesce("_id", "vec_id").alias("id"), (F.coalesce("rows", F.lit(1)) - 1).alias("same"))

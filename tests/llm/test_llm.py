@@ -281,6 +281,22 @@ def test_near_vectors(spark, more):
     assert vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_near_vectors_across_shards(spark):
+    """A pair on the two sides of a shard boundary counts for both ends, without help from the audit."""
+    def ray(degrees, k):
+        v = np.zeros(8)
+        v[:2] = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+        v[2 + k % 6] = 1e-3 * k
+        return (v / np.linalg.norm(v)).tolist()
+
+    rows = [(k, ray(90 * (k % 2), k)) for k in range(80)] + [(100, ray(35, 0)), (101, ray(45.5, 0)), (102, ray(55, 0)), (103, ray(44.5, 0))]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    x = np.array([v for _, v in rows])
+    close = (x @ x.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, cluster_rows=50, audit=0).collect()}
+    assert [got[i] for i, _ in rows] == close.sum(1).tolist() and close[80, 81] and close[82, 83]
+
+
 # Personal data ------------------------------------------------------------------------------------
 
 PLAIN = {
