@@ -62,8 +62,50 @@ class Signer:
         return (low >> np.uint64(32)).astype(">u4").tobytes()
 
 
-def signatures(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, n, h1, h2, sig): set size, a 128-bit hash of the set, and the signature."""
+COUNT_BITS = 20
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def sampled_counts(docs: DataFrame, k: int, sample: int) -> np.ndarray:
+    """How many of `sample` documents, picked by doc_id, hold a shingle of each hash bucket. It only
+    makes an order in which common shingles come last; any other would give the same links."""
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id", "left_semi")
+
+    def count(batches):
+        shingler, total = Shingler(k), np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for s in sets(shingler, batch.column("text")):
+                total[_bucket(s)] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    found = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.uint16)
+    out[found.column("bucket").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.uint16).max)
+    return out
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> bytes:
+    """The first n - ceil(percent * n / 100) + 1 shingles in the order of sampled counts and hashes, as
+    32 bits each: of two sets that link, the first shingle they share in that order is in both prefixes."""
+    most = len(shingles) - -(-percent * len(shingles) // 100) + 1
+    return shingles[np.argsort(counts[_bucket(shingles)], kind="stable")[:most]].astype("<u4").tobytes()
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """For each hash bucket whether it holds an odd number of shingles. Where two sets' bits differ, at
+    least one shingle is in only one of them. Twice as many buckets as shingles, a power of two from 256 on."""
+    size = 1 << max(8, (2 * len(shingles) - 1).bit_length())
+    held = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size)
+    return np.packbits(held & 1).tobytes()
+
+
+def signatures(docs: DataFrame, k: int, trees: int, depth: int, counts: np.ndarray, percent: int) -> DataFrame:
+    """(doc_id, n, h1, h2, sig, rare, odd): set size, a 128-bit hash of the set, the signature, the prefix and parities."""
 
     def sign(batches):
         shingler, signer = Shingler(k), Signer(trees, depth)
@@ -72,12 +114,12 @@ def signatures(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
             for a, b in slices(texts):
                 rows = []
                 for s in shingler(texts.slice(a, b - a)):
-                    rows.append((len(s), int(s.sum().view(np.int64)) if len(s) else 0, int(_mix(s ^ _M2).sum().view(np.int64)) if len(s) else 0, signer(s) if len(s) else None))
-                n, h1, h2, sig = zip(*rows)
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"])
+                    rows.append((len(s), int(s.sum().view(np.int64)) if len(s) else 0, int(_mix(s ^ _M2).sum().view(np.int64)) if len(s) else 0, signer(s) if len(s) else None, prefix(s, counts, percent) if len(s) else None, parity(s) if len(s) else None))
+                n, h1, h2, sig, rare, odd = zip(*rows)
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(rare, pa.binary()), pa.array(odd, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig", "rare", "odd"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, sig binary")
+    return rows.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, sig binary, rare binary, odd binary")
 
 
 def tree_rows(rows: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -92,32 +134,6 @@ def _arrays(batch: pa.RecordBatch, depth: int) -> tuple[np.ndarray, ...]:
     return batch.column("tree").to_numpy().astype(np.int64), key, batch.column("id").to_numpy(), batch.column("n").to_numpy()
 
 
-def wide_candidates(order: DataFrame, depth: int, least_depth: int, window: int, percent: int) -> DataFrame:
-    """(a, b) of rows(tree, key, id, n, component, open) within `window` places of each other in an order,
-    with a common prefix, in different components and at least one of them open."""
-    order = order.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-
-    def neighbours(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = (*_arrays(batch, depth), batch.column("component").to_numpy(), batch.column("open").to_numpy(zero_copy_only=False))
-            carried = len(held[0]) if held is not None else 0
-            tree, key, ids, n, component, open_ = (np.concatenate([x, y]) for x, y in zip(held, now)) if held is not None else now
-            found = []
-            for w in range(1, min(window + 1, len(ids))):
-                at = np.arange(max(w, carried), len(ids))
-                at = at[(open_[at] | open_[at - w]) & (tree[at] == tree[at - w]) & (component[at] != component[at - w])]
-                at = at[(key[at, :least_depth] == key[at - w, :least_depth]).all(axis=1) & (100 * np.minimum(n[at], n[at - w]) >= percent * np.maximum(n[at], n[at - w]))]
-                found.append(np.stack([np.maximum(ids[at], ids[at - w]), np.minimum(ids[at], ids[at - w])]))
-            held = tuple(x[-window:] for x in (tree, key, ids, n, component, open_))
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return order.mapInArrow(neighbours, "a long, b long").distinct()
-
-
 def forest_candidates(rows: DataFrame, trees: int, depth: int, least_depth: int, levels: tuple[int, ...], window: int, percent: int) -> DataFrame:
     """From rows(id, n, sig): neighbours (a, b, run null) in the sorted orders, and memberships
     (a, b null, run) in regions: rows that share a prefix of a level's depth with a neighbour.
@@ -182,13 +198,8 @@ def sets(shingler: Shingler, texts: pa.Array):
         yield from shingler(texts.slice(a, b - a))
 
 
-NEAR_MISS = 5
-CROWD = 16
-
-
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, linked) of the pairs whose full shingle sets have 100 * intersection >= percent * union,
-    and of those that miss that by up to NEAR_MISS percent points, which are not linked."""
+    """(a, b) of the pairs whose full shingle sets have 100 * intersection >= percent * union."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     texts = maybe_in(texts, ["id"], needed)[0]
     joined = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -201,11 +212,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), left, right):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 union = len(x) + len(y) - both
-                if 100 * both >= (percent - NEAR_MISS) * union:
-                    out.append((a, b, 100 * both >= percent * union))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "linked"])
+                if 100 * both >= percent * union:
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, linked boolean")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
 def with_components(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -215,69 +226,95 @@ def with_components(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return pairs
 
 
-def open_ends(tested: DataFrame, of: DataFrame) -> DataFrame:
-    """(id): of each near miss between two components, one of them a crowd, the end in the smaller one,
-    or both ends. Among fewer than CROWD classes the orders' neighbours have met already."""
-    apart = with_components(tested.where("not linked").select("a", "b"), of).where("c_a != c_b")
-    size = of.groupBy("component").agg((F.count("*") + 1).alias("size"))
+def prefix_pairs(rows: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of rows(id, n, rare) that share a shingle of their prefixes, are in different components and
+    are not ruled out by their sizes or by how many shingles come after the shared one: all links between
+    components are among them. It is one equi-join, which adaptive execution can split at a hot shingle."""
+
+    def shingles(batches):
+        for batch in batches:
+            rare = [np.frombuffer(x, "<u4") for x in batch.column("rare").to_pylist()]
+            size = np.fromiter(map(len, rare), np.int64, len(rare))
+            ends = np.cumsum(size)
+            for a in range(0, len(rare), 200):
+                b = min(len(rare), a + 200)
+                at = pa.array(np.repeat(np.arange(a, b), size[a:b]))
+                place = np.arange(len(at)) - np.repeat(ends[a:b] - size[a:b] - (ends[a] - size[a]), size[a:b])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(rare[a:b]).view(np.int32)), batch.column("id").take(at), batch.column("component").take(at), batch.column("n").cast(pa.int32()).take(at), pa.array(place.astype(np.int32))],
+                    names=["shingle", "id", "component", "n", "place"],
+                )
+
+    named = rows.select("id", "n", "rare").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n", "rare")
+    each = named.mapInArrow(shingles, "shingle int, id long, component long, n int, place int")
+    x, y = each.alias("x"), each.alias("y")
+    enough = F.expr(f"{100 + percent}L * least(x.n - x.place, y.n - y.place) >= {percent}L * (0L + x.n + y.n)")
+    sizes = F.expr(f"100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n)")
+    met = x.join(y, F.expr("x.shingle = y.shingle and x.id > y.id and x.component != y.component") & sizes & enough)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def near_by_parity(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) of rows(id, n, odd) that may link: buckets of different parity are at most as many
+    as the shingles in only one set, of which a link has at most (100 - percent) / (100 + percent) of both
+    sizes. It spares the others' texts a shuffle."""
     for side in ("a", "b"):
-        apart = apart.join(size.select(F.col("component").alias(f"c_{side}"), F.col("size").alias(f"s_{side}")), f"c_{side}", "left").withColumn(f"s_{side}", F.coalesce(f"s_{side}", F.lit(1)))
-    apart = apart.where(F.greatest("s_a", "s_b") >= CROWD)
-    return apart.where("s_a <= s_b").select(F.col("a").alias("id")).union(apart.where("s_b <= s_a").select("b")).distinct()
+        pairs = pairs.join(rows.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("odd").alias(f"odd_{side}")), side)
+
+    def check(batches):
+        for batch in batches:
+            apart = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("odd_a").to_pylist(), batch.column("odd_b").to_pylist())):
+                least = min(len(x), len(y))  # the buckets of the larger table fold into those of the smaller one
+                x, y = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint8).reshape(-1, least), axis=0) for z in (x, y))
+                apart[i] = np.bitwise_count(x ^ y).sum()
+            both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * both))
+
+    return pairs.select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(check, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 24, depth: int = 8, least_depth: int = 3, levels: tuple[int, ...] = (3, 8), window: int = 2, wide_trees: int = 8, wide_window: int = 48) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 24, depth: int = 8, least_depth: int = 3, levels: tuple[int, ...] = (3, 8), window: int = 2, sample: int = 2000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for docs(doc_id, text), one row per input row.
 
     Documents link when 100 * intersection >= percent * union of their k-word shingle sets. Equal
     sets are one class, found by a 128-bit hash of the set and never expanded into pairs. Classes
     meet as neighbours in the forest's orders and through region leaders; each candidate is
     confirmed on full sets unless its ends are already in one component. First each class's most
-    frequent candidate is confirmed, then all candidates between different components. A class that
-    has only just missed a crowd of near copies looks further along wide_trees of the orders,
-    wide_window places each way, until no round finds a link: in a crowd the right partner may lie
-    behind many others.
+    frequent candidate is confirmed, then all candidates between different components. What the forest
+    misses, as in a crowd where the right partner lies behind many others, a prefix-filter join finds:
+    it meets every pair of classes in different components that can link, so the result is exact.
 
     A null or blank text has an empty set and links with nothing. Rows that share a doc_id are one
     node; a null doc_id links with nothing and keeps a null component_id. An empty table gives an
     empty result, and other columns of docs are ignored."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = store(signatures(docs, k, trees, depth), "signatures")
+    rows = store(signatures(docs, k, trees, depth, sampled_counts(docs, k, sample), percent), "signatures")
     known = rows.where("n > 0 and doc_id is not null")
     classes = store(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")), "classes")
     # sets that occur once go on as they are; of the others the row with the smallest doc_id does
     twice = classes.where("rows > 1").select("h1", "h2", F.col("id").alias("doc_id"))
     some, single = maybe_in(known, ["h1", "h2"], twice)
     lead = some.join(twice, ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2", "doc_id"])  # dealt by doc_id too
-    firsts = single.unionByName(some.join(twice, ["h1", "h2"], "left_anti")).unionByName(lead).select(F.col("doc_id").alias("id"), "n", "sig")
+    firsts = single.unionByName(some.join(twice, ["h1", "h2"], "left_anti")).unionByName(lead).select(F.col("doc_id").alias("id"), "n", "sig", "rare", "odd")
     found = store(forest_candidates(firsts, trees, depth, least_depth, levels, window, percent), "neighbours")
     pairs = found.where("run is null").select("a", "b").union(leader_pairs(found.where("run is not null").select("a", "run")))
     pairs = store(pairs.groupBy("a", "b").agg(F.count("*").alias("seen")), "candidates")
     drop_stored(found)
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = store(maybe_in(texts, ["id"], ends)[0].join(ends, "id"), "candidate-texts")
+    some_texts = store(maybe_in(texts, ["id"], ends)[0].join(ends, "id"), "candidate-texts")
     sided = pairs.select("a", "b", "seen", F.col("a").alias("me")).union(pairs.select("a", "b", "seen", F.col("b").alias("me")))
     best = store(sided.groupBy("me").agg(F.max_by(F.struct("a", "b"), F.struct("seen", -F.col("b"), -F.col("a"))).alias("p")).select("p.*").distinct(), "best")
-    tested = store(confirm(best, texts, k, percent), "tested")
-    of = store(components(tested.where("linked"), "a", "b"), "components")
+    tested = store(confirm(best, some_texts, k, percent), "tested")
+    of = store(components(tested, "a", "b"), "components")
     rest = store(with_components(pairs.select("a", "b"), of).where("c_a != c_b").select("a", "b").join(best, ["a", "b"], "left_anti"), "rest")
-    tested = store(tested.union(confirm(rest, texts, k, percent)), "tested")
-    asked = pairs.select("a", "b")
-    near = store(maybe_in(firsts, ["id"], ends)[0].join(ends, "id", "left_semi"), "candidate-signatures")
-    while True:
-        of = store(components(tested.where("linked"), "a", "b"), "components")
-        open_ = store(open_ends(tested, of), "open")
-        if not open_.limit(1).count():
-            break
-        order = tree_rows(near, min(trees, wide_trees), depth).withColumn("region", F.substring("key", 1, 4 * least_depth))
-        regions = order.join(open_, "id", "left_semi").select("tree", "region").distinct()
-        order = order.join(regions, ["tree", "region"], "left_semi").join(open_.withColumn("open", F.lit(True)), "id", "left").join(of, "id", "left")
-        order = order.select("tree", "key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("open", F.lit(False)).alias("open"))
-        fresh = store(wide_candidates(order, depth, least_depth, wide_window, percent).join(asked, ["a", "b"], "left_anti"), "wide")
-        more = store(confirm(fresh, texts, k, percent), "tested")
-        asked, tested = asked.union(fresh), tested.union(more)
-        if not more.where("linked").limit(1).count():
-            break
+    tested = store(tested.union(confirm(rest, some_texts, k, percent)), "tested")
+    drop_stored(some_texts)
+    of = store(components(tested, "a", "b"), "components")
+    missed = store(prefix_pairs(firsts, of, percent).join(pairs, ["a", "b"], "left_anti"), "met")
+    missed = store(near_by_parity(missed, firsts, percent), "missed")
+    tested = store(tested.union(confirm(missed, texts, k, percent)), "tested")
+    of = store(components(tested, "a", "b"), "components")
     named = classes.join(of, "id", "left").select("h1", "h2", "rows", "id", F.coalesce("component", "id").alias("component"))
     named = named.where("rows > 1 or component != id").select("h1", "h2", "component")
     plain = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

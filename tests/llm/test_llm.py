@@ -183,6 +183,25 @@ def test_near_duplicates(spark, k):
     assert minhash.near_duplicates(df.where("false"), k=k).count() == 0
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """Pairs at a similarity of 0.816 among 600 variants of one text that are 0.66 similar to each other."""
+    rng = random.Random(5)
+    base, texts = [f"b{i}" for i in range(80)], []
+    for i in range(570):
+        at = rng.sample(range(1, 79, 3), 4)
+        texts.append([f"v{i}x{j}" if j in at else w for j, w in enumerate(base)])
+        if i < 30:
+            other = [j for j in range(1, 79, 3) if j not in at]
+            there = at[:2] + rng.sample(other, 2)
+            texts.append([texts[-1][j] if j in at[:2] else f"u{i}x{j}" if j in there else w for j, w in enumerate(base)])
+    texts = [" ".join(x) for x in texts]
+    ids = rng.sample(range(10_000), len(texts))
+    sets = _sets(texts, 2)
+    want = _components(ids, [(ids[a], ids[b]) for a in range(len(ids)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    out = minhash.near_duplicates(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3), k=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (250, 2))] + [(500 + i, 501 + i) for i in range(60)] + [(7, 7)]
