@@ -120,24 +120,19 @@ def cell(c: Column | str, size: float) -> Column:
     return F.floor(col(c) * lit(1.0 / size)).cast("long")
 
 
-def pack_key(cells: list[Column]) -> Column:
-    """21 bits of each of three integer cells; null where one lies outside or is null."""
-    moved = [c + F.lit(KEY_OFFSET) for c in cells]
-    inside = F.lit(True)
-    for m in moved:
-        inside = inside & (m >= 0) & (m < (1 << KEY_BITS))
-    key = moved[0].bitwiseOR(F.shiftleft(moved[1], KEY_BITS)).bitwiseOR(F.shiftleft(moved[2], 2 * KEY_BITS))
-    return F.when(inside, key)
+def pack_key(scaled: list[Column], ok: Column | None = None) -> Column:
+    """21 bits of the floor of each of three numbers; null where one lies outside the key's range or is
+    null or not finite, or where ok is false. One guard covers all three: NaN is not below a bound."""
+    inside = F.lit(True) if ok is None else ok
+    for v in scaled:
+        inside = inside & (v >= lit(-KEY_OFFSET)) & (v < lit(KEY_OFFSET))
+    cells = [F.floor(v) + F.lit(KEY_OFFSET) for v in scaled]
+    return F.when(inside, cells[0].bitwiseOR(F.shiftleft(cells[1], KEY_BITS)).bitwiseOR(F.shiftleft(cells[2], 2 * KEY_BITS)))
 
 
 def voxel_key(size: float, cols: tuple = XYZ) -> Column:
     """The voxel of a point; null for a non-finite point or one beyond the key's range."""
-    limit = lit(size * KEY_OFFSET)
-    near = F.lit(True)
-    for c in cols:
-        near = near & (F.abs(col(c)) <= limit)
-    ok = finite(*cols) & near
-    return pack_key([F.when(ok, cell(F.when(ok, col(c)), size)) for c in cols])
+    return pack_key([col(c) * lit(1.0 / size) for c in cols])
 
 
 def so3_exp(w: list[Column]) -> list[list[Column]]:

@@ -141,8 +141,9 @@ def interpolate_poses(points: DataFrame, trajectory: DataFrame, time: str = "ts"
     both = rows.unionByName(mark, allowMissingColumns=True)
     pose = F.when(F.col("_kind") == 0, F.struct("_ts", *(f"_{c}" for c in POSE)))
     back = Window.partitionBy(*by).orderBy("_ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy("_ts", "_kind").rowsBetween(0, Window.unboundedFollowing)
-    near = both.withColumn("_p", pose).withColumn("_a", F.last("_p", True).over(back)).withColumn("_b", F.first("_p", True).over(ahead)).where("_kind = 1")
+    # the next pose is the last one of the reversed order, so both frames grow and neither is recomputed
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_ts"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_p", pose).withColumn("_a", F.last("_p", True).over(back)).withColumn("_b", F.last("_p", True).over(ahead)).where("_kind = 1")
     a, b = F.coalesce("_a", "_b"), F.coalesce("_b", "_a")
     gap = b["_ts"] - a["_ts"]
     t = F.coalesce((F.col("_ts") - a["_ts"]) / F.when(gap > 0, gap), E.lit(0))

@@ -36,8 +36,16 @@ def windows(samples: DataFrame, bounds: DataFrame, by: tuple[str, ...] = ("strea
     interpolated at t0 and t1 where two samples bracket them. Columns by.., window_id, ts, axes, kind."""
     ordered = Window.partitionBy(*by).orderBy("ts")
     s = samples.select(*by, "ts", *AXES, F.lead("ts").over(ordered).alias("_ts"), *(F.lead(c).over(ordered).alias(f"_{c}") for c in AXES))
-    # a sample serves every window that its interval up to the next sample touches
-    joined = s.join(bounds, list(by)).where((F.col("ts") <= F.col("t1")) & (F.coalesce("_ts", "ts") >= F.col("t0")))
+    # a sample serves every window that its interval up to the next sample touches: both sides go into
+    # buckets of time as wide as the longest window, and a pair meets in the first bucket they share
+    wide = bounds.agg(F.max(F.col("t1") - F.col("t0"))).first()[0]
+    wide = E.lit(wide if wide and wide > 0 else 1.0)
+    bucket = lambda c: F.floor(c / wide)
+    upto = F.coalesce("_ts", "ts")
+    s = s.withColumn("_b0", bucket(F.col("ts"))).withColumn("_b", F.explode(F.sequence("_b0", F.greatest("_b0", bucket(upto)))))
+    b = bounds.select(*by, "window_id", "t0", "t1").withColumn("_c0", bucket(F.col("t0"))).withColumn("_b", F.explode(F.sequence("_c0", F.greatest("_c0", bucket(F.col("t1"))))))
+    touch = (F.col("ts") <= F.col("t1")) & (upto >= F.col("t0")) & (F.col("_b") == F.greatest("_b0", "_c0"))
+    joined = s.join(b, [*by, "_b"]).where(touch)
     inside = joined.where((F.col("ts") > F.col("t0")) & (F.col("ts") <= F.col("t1"))).select(*by, "window_id", "ts", *AXES, F.lit("sample").alias("kind"))
 
     def at(edge: str, kind: str) -> DataFrame:

@@ -56,6 +56,36 @@ def cell_size(targets: DataFrame, k: int) -> float:
     return max((math.prod(sides) * k / r["n"]) ** (1 / len(sides)), max(sides) * 1e-6, 1e-9)
 
 
+def _coarser(q: DataFrame, t: DataFrame, k: int, by: tuple[str, ...], size: float) -> DataFrame:
+    """The queries that no shell has settled, against ever coarser cells: each round meets the 27 cells
+    around a query by an equi-join and settles those whose k-th distance is below the cell's edge; the
+    last round's edge is the extent of both sides, where 27 cells hold every target."""
+    t, q = t.select(*by, "nbr_id", *(f"t{c}" for c in E.XYZ)), q.select(*by, "query_id", *(f"q{c}" for c in E.XYZ))
+    ends = [f(f"{s}{c}").alias(f"{n}{s}{c}") for s in "qt" for c in E.XYZ for n, f in (("a", F.min), ("b", F.max))]
+    r = q.agg(*ends[:6]).first().asDict() | t.agg(*ends[6:]).first().asDict()
+    known = [(min(v), max(w)) for c in E.XYZ if (v := [r[f"a{s}{c}"] for s in "qt" if r[f"a{s}{c}"] is not None]) and (w := [r[f"b{s}{c}"] for s in "qt" if r[f"b{s}{c}"] is not None])]
+    extent = max((b - a for a, b in known), default=0.0)
+    keys, done, last = [*by, *(f"c{c}" for c in E.XYZ)], [], False
+    while not last:
+        size *= 4
+        last = size >= extent
+        held = t.select("*", *(E.cell(f"t{c}", size).alias(f"c{c}") for c in E.XYZ))
+        wide = q.select("*", *(E.cell(f"q{c}", size).alias(f"c{c}") for c in E.XYZ))
+        for c in E.XYZ:
+            wide = wide.withColumn(f"c{c}", F.explode(F.sequence(F.col(f"c{c}") - 1, F.col(f"c{c}") + 1)))
+        found = _top(wide.join(held, keys).withColumn("dist_sq", _distance()), k, by).select(*by, "query_id", "rank", "nbr_id", "dist_sq")
+        if not last:
+            found = found.persist()
+            final = found.groupBy(*by, "query_id").agg(F.count("*").alias("n"), F.max("dist_sq").alias("d")).where((F.col("n") == k) & (F.col("d") < size * size)).select(*by, "query_id")
+            q, found = q.join(final, [*by, "query_id"], "left_anti").select(*q.columns).persist(), found.join(final, [*by, "query_id"], "left_semi")
+            last = not q.limit(1).count()
+        done.append(found)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def grid_knn(queries: DataFrame, targets: DataFrame, k: int, pose: np.ndarray | None = None, by: tuple[str, ...] = (), size: float | None = None, shells: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
     q, t = _sides(queries, targets, pose, by)
     size = size or cell_size(targets, k)
@@ -74,10 +104,7 @@ def grid_knn(queries: DataFrame, targets: DataFrame, k: int, pose: np.ndarray |
         if not q.limit(1).count():
             break
     else:
-        rest = q.select(*by, "query_id", *(f"q{c}" for c in E.XYZ))
-        plain = t.select(*by, "nbr_id", *(f"t{c}" for c in E.XYZ))
-        pairs = rest.join(plain, list(by)) if by else rest.join(plain, how="cross")
-        done.append(_top(pairs.withColumn("dist_sq", _distance()), k, by).select(*by, "query_id", "rank", "nbr_id", "dist_sq"))
+        done.append(_coarser(q, t, k, by, size * max(shells)))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from ..functions import expr as E
 from .filters import has
 
 
-def polar_bins(df: DataFrame, distance: float, elevation: float, azimuth: float, system: str = "lidar") -> list[Column]:
-    """Range, elevation and azimuth bins; null for a point at the origin or on the vertical axis."""
+def _polar(distance: float, elevation: float, azimuth: float, system: str) -> tuple[list[Column], Column]:
+    """Range, elevation and azimuth over their bin sizes, and where they are defined."""
     x, y, z = (F.col(c) for c in E.XYZ)
     if system.lower() == "lidar":
         flat, az, up = F.sqrt(x * x + y * y), F.atan2(y, x), z
@@ -19,8 +21,14 @@ def polar_bins(df: DataFrame, distance: float, elevation: float, azimuth: float,
     else:
         raise ValueError(f"no coordinate system {system!r}")
     r = F.sqrt(x * x + y * y + z * z)
-    ok = E.finite() & (r > 0) & (flat > 0)
-    return [F.when(ok, E.cell(F.when(ok, v), s)) for v, s in ((r, distance), (F.atan2(up, flat), elevation), (az, azimuth))]
+    parts = ((r, distance), (F.atan2(up, flat), elevation), (az, azimuth))
+    return [v * E.lit(1.0 / s) for v, s in parts], (flat > 0) & (r < E.lit(float("inf")))
+
+
+def polar_bins(df: DataFrame, distance: float, elevation: float, azimuth: float, system: str = "lidar") -> list[Column]:
+    """Range, elevation and azimuth bins; null for a point at the origin or on the vertical axis."""
+    scaled, ok = _polar(distance, elevation, azimuth, system)
+    return [F.when(ok, F.floor(v)) for v in scaled]
 
 
 def aggregates(df: DataFrame) -> list[Column]:
@@ -46,7 +54,7 @@ def voxel_downsample(df: DataFrame, size: float, least: int = 1, by: tuple[str,
 def polar_downsample(df: DataFrame, distance: float, elevation: float, azimuth: float, system: str = "lidar", least: int = 1, by: tuple[str, ...] = ("frame_id",)) -> DataFrame:
     if min(distance, elevation, azimuth) <= 0:
         raise ValueError("bin sizes must be positive")
-    return _downsample(df, E.pack_key(polar_bins(df, distance, elevation, azimuth, system)), by, least)
+    return _downsample(df, E.pack_key(*_polar(distance, elevation, azimuth, system)), by, least)
 
 
 def inclusive_scan(df: DataFrame, flag: Column, by: str = "frame_id") -> DataFrame:
@@ -71,21 +79,20 @@ def ring_means(df: DataFrame) -> DataFrame:
 
 
 def smooth_rings(means: DataFrame, alpha: float) -> DataFrame:
-    """ring_means() smoothed over frames: the first observation as it is, then alpha of the new one.
-    A fold over each ring's frames in order."""
-    steps = F.sort_array(F.collect_list(F.struct("frame_id", "m_ref", "m_amb")))
-    rings = means.groupBy("ring").agg(steps.alias("s"))
-    keep = lambda old, new: F.when(old.isNull(), new).otherwise(F.lit(1 - alpha) * old + F.lit(alpha) * new)
-    kind = "array<struct<frame_id:bigint,m_ref:double,m_amb:double>>"
-    start = F.array().cast(kind)
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        one = F.struct(s["frame_id"].cast("long").alias("frame_id"), keep(last["m_ref"], s["m_ref"]).alias("m_ref"), keep(last["m_amb"], s["m_amb"]).alias("m_amb"))
-        return F.concat(acc, F.array(one).cast(kind))
-
-    folded = rings.select("ring", F.explode(F.aggregate("s", start, step)).alias("m"))
-    return folded.select("m.frame_id", "ring", "m.m_ref", "m.m_amb")
+    """ring_means() smoothed over frames: the first observation as it is, then alpha of the new one; a
+    null mean starts anew. A fold over each ring's frames in order, linear in their number."""
+
+    def fold(frames: pd.DataFrame) -> pd.DataFrame:
+        out = frames.sort_values("frame_id").reset_index(drop=True)
+        for c in ("m_ref", "m_amb"):
+            values, last = out[c].to_numpy(float), np.nan
+            for k, v in enumerate(values.tolist()):
+                last = v if last != last else (1 - alpha) * last + alpha * v
+                values[k] = last
+            out[c] = pd.Series(values).astype(object).where(~np.isnan(values), None)
+        return out
+
+    return means.select("frame_id", "ring", "m_ref", "m_amb").groupBy("ring").applyInPandas(fold, "frame_id long, ring long, m_ref double, m_amb double")
 
 
 def enhanced_reflectivity(df: DataFrame, means: DataFrame, clip: float = 10.0) -> DataFrame:

@@ -14,7 +14,8 @@ from ..functions import lie, udfs
 from ..operators import features, filters, imu, knn, maps, sampling, transform, voxel
 from ..operators import deskew as dsk
 from ..operators import registration as reg
-from ..sources import sensors
+from ..session import new_path
+from ..sources import points, sensors
 from . import odometry, views
 from .views import with_views
 
@@ -512,9 +513,9 @@ def _align(kind: reg.RegType, **more):
 query("r15_align_gauss_newton")(_align(reg.RegType.POINT_TO_POINT))
 query("r16_align_levenberg")(_align(reg.RegType.POINT_TO_PLANE, optimizer=reg.Optimizer.LEVENBERG_MARQUARDT))
 query("r17_align_dogleg")(_align(reg.RegType.POINT_TO_POINT, optimizer=reg.Optimizer.POWELL_DOGLEG))
-query("r5_align_gicp")(_align(reg.RegType.GICP, max_iterations=5))
-query("r6_align_genz")(_align(reg.RegType.GENZ, max_iterations=5))
-query("r4_align_distribution")(_align(reg.RegType.POINT_TO_DISTRIBUTION, max_iterations=5))
+query("r5_align_gicp")(_align(reg.RegType.GICP))
+query("r6_align_genz")(_align(reg.RegType.GENZ))
+query("r4_align_distribution")(_align(reg.RegType.POINT_TO_DISTRIBUTION))
 
 
 @query("r12_rotation_constraint")
@@ -529,20 +530,20 @@ def r12(s, d):
 @query("r12_align_constrained")
 def r12a(s, d):
     src, tgt = _scene(s, d, reg.RegType.GICP)
-    return _result(s, reg.register(src, tgt, reg.Params(reg_type=reg.RegType.GICP, rotation_constraint=True, max_iterations=3)))
+    return _result(s, reg.register(src, tgt, reg.Params(reg_type=reg.RegType.GICP, rotation_constraint=True)))
 
 
 @query("r13_degenerate")
 def r13(s, d):
     src, tgt = _scene(s, d, reg.RegType.POINT_TO_POINT)
-    p = reg.Params(reg_type=reg.RegType.POINT_TO_POINT, degeneracy=reg.DegeneracyParams(reg.Degeneracy.NL_REG), max_iterations=4)
+    p = reg.Params(reg_type=reg.RegType.POINT_TO_POINT, degeneracy=reg.DegeneracyParams(reg.Degeneracy.NL_REG))
     return _result(s, reg.register(src, tgt, p))
 
 
 @query("r14_map_prior")
 def r14(s, d):
     src, tgt = _scene(s, d, reg.RegType.POINT_TO_POINT)
-    p = reg.Params(reg_type=reg.RegType.POINT_TO_POINT, max_iterations=4)
+    p = reg.Params(reg_type=reg.RegType.POINT_TO_POINT)
     first, prior = reg.register(src, tgt, p), reg.MapPrior(reg.PriorParams(enabled=True))
     prior.update(first, first.T)
     return _result(s, reg.register(src, tgt, p, first.T, prior=prior))
@@ -558,7 +559,7 @@ def r21(s, d):
 def r23(s, d):
     src, tgt = _scene(s, d, reg.RegType.POINT_TO_POINT)
     p = reg.PipelineParams(sampling=False, auto_scale=True, levels=2)
-    return _result(s, reg.register(src, tgt, reg.Params(reg_type=reg.RegType.POINT_TO_POINT, loss=reg.Loss.GEMAN_MCCLURE, max_iterations=4), None, p))
+    return _result(s, reg.register(src, tgt, reg.Params(reg_type=reg.RegType.POINT_TO_POINT, loss=reg.Loss.GEMAN_MCCLURE), None, p))
 
 
 # Maps ---------------------------------------------------------------------------------------------
@@ -733,6 +734,45 @@ def s7(s, d):
     return sensors.decode_messages(packed).select("frame_id", "point_id", *E.XYZ)
 
 
+def _file_cloud(s, d) -> DataFrame:
+    return views.cloud_emb(s, d).select("point_id", *E.XYZ, F.pmod("point_id", F.lit(16)).cast("double").alias("intensity"))
+
+
+def _round_trip(ext: str, ascii: bool):
+    def run(s, d):
+        path = points.write_file(_file_cloud(s, d), new_path(s, "cloud") + "." + ext, ascii)
+        return points.read_file(s, path).select(*E.XYZ, *(["intensity"] if ext == "ply" else []))
+
+    return run
+
+
+_PLY_SQL = "SELECT x, y, z, CAST(point_id % 16 AS DOUBLE) AS intensity FROM emb"
+query("s1_ply_scan", _PLY_SQL, "emb")(_round_trip("ply", True))
+query("s2_pcd_scan", "SELECT x, y, z FROM emb", "emb")(_round_trip("pcd", True))
+query("s4_ply_sink", _PLY_SQL, "emb")(_round_trip("ply", False))
+query("s5_pcd_sink", "SELECT x, y, z FROM emb", "emb")(_round_trip("pcd", False))
+
+
+@query("s3_read_dispatch", "SELECT e.ext, x, y, z FROM emb CROSS JOIN (SELECT unnest(['ply', 'pcd']) AS ext) e", "emb")
+def s3(s, d):
+    """Both formats, chosen by the path's extension."""
+    out = None
+    for ext in points.EXTENSIONS:
+        path = points.write_file(_file_cloud(s, d), new_path(s, "cloud") + "." + ext)
+        one = points.read_file(s, path, intensity=False).select(F.lit(ext).alias("ext"), *E.XYZ)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("s6_write_facade", "SELECT count(*) AS n, sum(x) AS sx, 2 * count(*) AS both_n FROM emb", "emb")
+def s6(s, d):
+    """Paths without an extension take that of the writer."""
+    made = [w(_file_cloud(s, d), new_path(s, "cloud")) for w in (points.write_ply, points.write_pcd)]
+    ply, pcd = (points.read_file(s, p).agg(F.count("*").alias("n"), F.sum("x").alias("sx")) for p in made)
+    both = pcd.select(F.col("n").alias("m"))
+    return ply.join(F.broadcast(both), how="cross").select("n", "sx", (F.col("n") + F.col("m")).alias("both_n"))
+
+
 @query("s13_ellipsoids")
 def s13(s, d):
     return sensors.ellipsoids(features.covariances(views.cloud_emb(s, d), 10).select("point_id", *E.COV))

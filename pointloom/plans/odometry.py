@@ -10,7 +10,7 @@ from enum import Enum
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lie
@@ -476,5 +476,7 @@ def run_streams(points: DataFrame, imu: DataFrame | None = None, params: Odometr
 
 def stage_times(stages: DataFrame) -> DataFrame:
     """(stage, max, mean, median) of stages(stage, us); the median is the element at n / 2, counted from 0."""
-    s = stages.groupBy("stage").agg(F.max("us").alias("max_us"), F.avg("us").alias("mean_us"), F.sort_array(F.collect_list("us")).alias("_all"))
-    return s.select("stage", "max_us", "mean_us", F.element_at("_all", (F.floor(F.size("_all") / 2) + 1).cast("int")).alias("median_us"))
+    of = Window.partitionBy("stage")
+    ranked = stages.withColumn("_k", F.row_number().over(of.orderBy("us")) - 1).withColumn("_n", F.count("*").over(of))
+    median = F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2), F.col("us")))
+    return ranked.groupBy("stage").agg(F.max("us").alias("max_us"), F.avg("us").alias("mean_us"), median.alias("median_us"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 from dataclasses import dataclass
@@ -42,7 +43,7 @@ def _files(path: str, ext: str) -> list[str]:
 
 def _open(path: str):
     system, at = _fs(path)
-    return system.open_input_file(at)
+    return io.BufferedReader(system.open_input_file(at))  # arrow's own handles read no lines
 
 
 def _flag(options, name: str) -> bool:
