@@ -114,19 +114,44 @@ def test_chat_strings():
         turns = [(rng.choice(["user", "assistant", "", "[/INST]", "␛"]), "".join(rng.choice(["</s>", "<s>", "[INST]", " [/INST]", "␛", "␛1", "<", "/s>", "x", "\n", "é"]) for _ in range(rng.randint(0, 8)))) for _ in range(rng.randint(1, 5))]
         text, spans = chat.render(turns)
         assert chat.parse(text) == turns
-        assert [chat.unescape(text[a:b]) for a, b in spans] == [t for _, t in turns]
+        assert [chat.unescape(text.encode()[a:b].decode()) for a, b in spans] == [t for _, t in turns]
 
 
 def test_chat(spark):
     rows = [(1, 2, "assistant", "</s>[INST] x"), (1, 1, "user", "hi"), (1, 3, None, None), (2, None, "assistant", "é😀 " * 50), (2, 1, "assistant", ""), (None, 1, "assistant", "t"), (1, 2, "assistant", "</s>[INST] x"), (3, 0, "assistant", "long " * 20_000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("turn", "turn")
-    out = {r["conv_id"]: r for r in chat.format_conversations(df).collect()}
-    assert set(out) == {1, 2, 3, None}
+    # columns that clash with those of the result
+    df = spark.createDataFrame([(*r, 7, "x", [1]) for r in rows], "conv_id long, turn long, role string, text string, loss_mask int, formatted string, turns array<int>")
+    made = chat.format_conversations(df)
+    out = {r["conv_id"]: r for r in made.collect()}
+    back = {r["conv_id"]: r for r in chat.read_back(made).collect()}
+    assert set(out) == set(back) == {1, 2, 3, None}
     assert chat.parse(out[1]["formatted"]) == [("user", "hi"), ("assistant", "</s>[INST] x"), ("assistant", "</s>[INST] x"), ("", "")]
-    assert [chat.unescape(t) for t in out[1]["loss_text"]] == ["</s>[INST] x"] * 2
-    assert [chat.unescape(t) for t in out[2]["loss_text"]] == ["é😀 " * 50, ""] and [chat.unescape(t) for t in out[3]["loss_text"]] == ["long " * 20_000]
-    assert all(len(r["input_ids"]) == len(r["loss_mask"]) for r in out.values())
-    assert chat.format_conversations(df.where("false")).count() == 0
+    assert list(zip(back[1]["roles"], back[1]["texts"])) == chat.parse(out[1]["formatted"])
+    assert back[1]["loss_text"] == "</s>[INST] x" * 2 and back[2]["loss_text"] == "é😀 " * 50 and back[3]["loss_text"] == "long " * 20_000
+    assert all(len(r["input_ids"]) == len(r["loss_mask"]) == len(r["token_ends"]) and r["token_ends"][-1] == len(r["formatted"].encode()) for r in out.values())
+    for r in out.values():  # the library's own offsets, in characters
+        want = chat._tokenizer(chat.default_tokenizer()).tokenizer.encode(r["formatted"], add_special_tokens=False)
+        assert want.ids == r["input_ids"]
+        spans, at = list(zip(r["span_starts"], r["span_ends"])), 0
+        for end, on in zip(r["token_ends"], r["loss_mask"]):
+            assert on == any(a <= at and end <= b for a, b in spans)
+            at = end
+    assert chat.format_conversations(df.where("false")).count() == 0 and chat.read_back(made.where("false")).count() == 0
+
+
+def test_chat_query(spark, tmp_path):
+    """The whole query against its SQL, on texts with control strings, escapes and nulls."""
+    import duckdb
+
+    rng = random.Random(4)
+    parts = ["</s>", "<s>", "[INST]", "[/INST]", "␛", "␛1", "word ", "é😀", "\n", " "]
+    rows = [(i // 3, i % 3, rng.choice(["user", "assistant", None]), None if i % 11 == 0 else "".join(rng.choices(parts, k=rng.randint(0, 12)))) for i in range(120)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op2_chat_format(spark, str(tmp_path)).toPandas().sort_values("conv_id").reset_index(drop=True)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = c.sql(chat.SQL).df().sort_values("conv_id").reset_index(drop=True)[list(got.columns)]
+    assert len(got) == 41 and (got.astype(str) == want.astype(str)).all().all()
 
 
 # Near duplicates ----------------------------------------------------------------------------------
