@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import drop_stored, store
 
 
 def count_words(text: Column) -> Column:
@@ -15,123 +15,136 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
-def tempered(tokens: dict, exponent: float) -> dict:
-    """Normalised weights: source token shares to a power. Sources without tokens have weight 0."""
-    total = sum(tokens.values())
-    raw = {s: (n / total) ** exponent if n else 0.0 for s, n in tokens.items()} if total else dict.fromkeys(tokens, 0.0)
-    norm = math.fsum(raw.values())
-    return {s: x / norm if norm else 0.0 for s, x in raw.items()}
+# The weight of a source depends on its tokens alone, so what goes to the driver is a histogram: how many
+# sources have each number of tokens. Distinct numbers are at most the square root of twice all tokens.
 
 
-def entropy(weights: dict) -> float:
-    return -math.fsum(w * math.log(w) for w in weights.values() if w)
+def tempered(sources: dict[int, int], exponent: float) -> dict[int, float]:
+    """Normalised weight of a source with each number of tokens, from {tokens: sources}: token shares to a
+    power. Sources without tokens have weight 0."""
+    total = sum(n * k for n, k in sources.items())
+    raw = {n: (n / total) ** exponent if n else 0.0 for n in sources}
+    norm = math.fsum(raw[n] * k for n, k in sources.items())
+    return {n: x / norm if norm else 0.0 for n, x in raw.items()}
 
 
-def spread(tokens: dict, weights: dict) -> float:
+def entropy(sources: dict[int, int], weights: dict[int, float]) -> float:
+    return -math.fsum(k * weights[n] * math.log(weights[n]) for n, k in sources.items() if weights[n])
+
+
+def spread(weights: dict[int, float]) -> float:
     """How often the most repeated source is seen for each time that the least repeated one is."""
-    rates = [weights[s] / n for s, n in tokens.items() if n]
+    rates = [w / n for n, w in weights.items() if n]
     return max(rates) / min(rates) if rates else 1.0
 
 
-def find_exponent(tokens: dict, target_entropy: float | None, repeat_limit: float, rounds: int = 60) -> float:
+def find_exponent(sources: dict[int, int], target_entropy: float | None, repeat_limit: float, rounds: int = 60) -> float:
     """The exponent in [0, 1] nearest to 1 at which the weights reach target_entropy, a share of the
     greatest entropy, and not below the smallest at which no source repeats more than repeat_limit
     times as often as another: both are monotone in the exponent, so each is bisected."""
-    live = {s: n for s, n in tokens.items() if n}
-    if len(live) < 2:
+    live = {n: k for n, k in sources.items() if n}
+    if sum(live.values()) < 2:
         return 1.0
+    most = math.log(sum(live.values()))
 
-    def bisect(holds) -> float:
-        """The largest exponent for which holds() is true, if it is true at 0."""
-        if holds(1.0):
-            return 1.0
-        low, high = 0.0, 1.0
+    def bisect(holds, low: float, high: float) -> tuple[float, float]:
+        """Narrows [low, high], where holds() is true at low and false at high."""
         for _ in range(rounds):
             mid = (low + high) / 2
             low, high = (mid, high) if holds(mid) else (low, mid)
-        return low
-
-    wanted = bisect(lambda x: entropy(tempered(live, x)) >= target_entropy * math.log(len(live))) if target_entropy is not None else 0.0
-    if spread(live, tempered(live, 0.0)) <= repeat_limit:
-        return wanted
-    low, high = 0.0, 1.0
-    for _ in range(rounds):
-        mid = (low + high) / 2
-        low, high = (low, mid) if spread(live, tempered(live, mid)) <= repeat_limit else (mid, high)
-    return max(wanted, high)
-
-
-def quotas(tokens: dict, weights: dict, budget: int | None = None) -> tuple[int, dict]:
-    """(budget, tokens to draw of each source). Without a budget it is the smallest that draws every
-    source at least once, so that no document is lost."""
-    rates = {s: weights[s] / n for s, n in tokens.items() if n}
+        return low, high
+
+    even = lambda x: entropy(live, tempered(live, x)) >= target_entropy * most
+    wanted = 0.0 if target_entropy is None else 1.0 if even(1.0) else bisect(even, 0.0, 1.0)[0]
+    tight = lambda x: spread(tempered(live, x)) > repeat_limit
+    return wanted if not tight(wanted) else bisect(tight, wanted, 1.0)[1]
+
+
+def quotas(sources: dict[int, int], weights: dict[int, float], budget: int | None = None) -> tuple[int, dict[int, int]]:
+    """(budget, tokens to draw of a source with each number of tokens). Without a budget it is the smallest
+    that draws every source at least once, so that no document is lost."""
+    rates = {n: weights[n] / n for n in sources if n}
     if not rates:
-        return 0, {s: 0 for s in tokens}
+        return 0, {n: 0 for n in sources}
     if budget is None:
         budget = math.ceil(1 / min(rates.values()) - 1e-6)
-        return budget, {s: max(n, round(weights[s] * budget)) if n else 0 for s, n in tokens.items()}
-    return budget, {s: round(weights[s] * budget) for s in tokens}
+        return budget, {n: max(n, round(weights[n] * budget)) if n else 0 for n in sources}
+    return budget, {n: round(weights[n] * budget) for n in sources}
 
 
-def mix(docs: DataFrame, target_entropy: float | None = None, repeat_limit: float = 2.0, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 17) -> DataFrame:
-    """docs(doc_id, text, source, ...) with columns tokens, weight, copies and block: how often each
-    row is drawn and the output block of its last drawing.
+ADDED = ("tokens", "weight", "copies", "blocks")
+
 
-    Each source draws its quota by epochs. An epoch is a permutation: documents fall into blocks of
-    about block_tokens by a hash, blocks come in their order, documents in hash order. Whole epochs
-    draw every row once; the last one draws the rows that begin before its remainder is spent, so a
-    source overshoots its quota by less than one document. Only the block that the remainder ends in
-    is ordered row by row, so a source that holds most rows is spread over its blocks.
+def mix(docs: DataFrame, target_entropy: float | None = None, repeat_limit: float = 2.0, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 17) -> DataFrame:
+    """docs(doc_id, text, source, ...) with columns tokens, weight, copies (how often each row is drawn) and
+    blocks: the output block of each drawing, in order.
+
+    Each source draws its quota by epochs, each a permutation of its own: documents fall into blocks of
+    about block_tokens by a hash of row and epoch, blocks come in their order, documents in hash order.
+    Whole epochs draw every row once; the last one draws the rows that begin before its remainder is
+    spent, so a source overshoots its quota by less than one document (or one run of equal rows). A
+    drawing's output block is its share of its source's drawn tokens, so every block holds all
+    sources by their weights and about block_tokens. Only the block that the remainder ends in is
+    ordered row by row, so a source that holds most rows is spread over its blocks. Each text is
+    read twice: once to count, once to write.
 
     A null source is a source of its own. A null or blank text has no tokens: it is drawn as often as
     its source's whole epochs (once, if the source has no tokens). Repeated rows are drawn like any
-    others. An empty table stays empty. Columns of docs that clash with the added ones are replaced."""
+    others, texts of any length count whole, an empty table stays empty. Columns of docs that clash
+    with the added ones are replaced, all others are kept."""
     spark = docs.sparkSession
-    rows = docs.withColumn("tokens", count_words(F.col("text").cast("string")))
-    key = [c for c in ("doc_id",) if c in docs.columns]
-    u = F.xxhash64(F.lit(seed), *key, "text")
-    rows = rows.withColumn("_s", F.coalesce(F.col("source").cast("string"), F.lit("\0null"))).withColumn("_u", u)
-    # sources are a column of bounded variety; a row each goes to the driver, which checks how many
-    found = rows.groupBy("_s").agg(F.sum("tokens").alias("n")).limit(100_001).collect()
-    if len(found) > 100_000:
-        raise ValueError("more than 100000 sources")
-    tokens = {r["_s"]: int(r["n"] or 0) for r in found}
-    weights = tempered(tokens, find_exponent(tokens, target_entropy, repeat_limit))
-    total, quota = quotas(tokens, weights, budget)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED)).alias("row")
+    key = [F.col("doc_id")] if "doc_id" in docs.columns else []
+    rows = docs.select(row, F.coalesce(F.col("source").cast("string"), F.lit("\0null")).alias("s"), F.xxhash64(F.lit(seed), *key, F.col("text")).alias("u"), count_words(F.col("text").cast("string")).alias("tokens"))
+    small = store(rows.select("s", "u", "tokens"), "mix-rows")
+    sources = store(small.groupBy("s").agg(F.sum("tokens").alias("n")), "mix-sources")
+    held = {int(r["n"]): int(r["k"]) for r in sources.groupBy("n").agg(F.count("*").alias("k")).collect()}
+    weights = tempered(held, find_exponent(held, target_entropy, repeat_limit))
+    total, quota = quotas(held, weights, budget)
     plan = []
-    for s, n in tokens.items():
-        whole, rest = divmod(quota[s], n) if n else (1, 0)
-        plan.append((s, float(weights[s]), n, whole, rest, max(1, -(-n // block_tokens))))
-    plan = spark.createDataFrame(plan, "_s string, weight double, _n long, _whole long, _rest long, _blocks long")
-    dealt = rows.select("_s", "_u", "tokens").join(F.broadcast(plan), "_s").withColumn("_b", F.pmod(F.col("_u"), F.col("_blocks")))
-    blocks = store(dealt.groupBy("_s", "_b").agg(F.sum("tokens").alias("_t"), F.first("_rest").alias("_rest")), "mix-blocks")
-    upto = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # blocks, not rows
-    blocks = blocks.withColumn("_end", F.sum("_t").over(upto)).withColumn("_begin", F.col("_end") - F.col("_t"))
-    cut = blocks.where("_begin < _rest and _end >= _rest").select("_s", F.col("_b").alias("_cut"), (F.col("_rest") - F.col("_begin")).alias("_left"))
-    cut = cut.groupBy("_s").agg(F.min("_cut").alias("_cut"), F.min_by("_left", "_cut").alias("_left"))
-    plan = store(plan.join(cut, "_s", "left"), "mix-plan")  # a row for each source
-    rows = rows.drop("weight", "copies", "block").join(F.broadcast(plan), "_s").withColumn("_b", F.pmod(F.col("_u"), F.col("_blocks")))
-    edge = rows.where("_b = _cut").select("_s", "_u", "tokens", "_left")
-    within = Window.partitionBy("_s").orderBy("_u").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # one block of each source: the last hash that the remainder still reaches
-    edge = edge.groupBy("_s", "_u", "_left").agg(F.sum("tokens").alias("tokens")).withColumn("_end", F.sum("tokens").over(within))
-    last = edge.where(F.col("_end") - F.col("tokens") < F.col("_left")).groupBy("_s").agg(F.max("_u").alias("_last"))
-    rows = rows.join(F.broadcast(store(last, "mix-edge")), "_s", "left")
-    extra = (F.col("_cut") > F.col("_b")) | ((F.col("_cut") == F.col("_b")) & (F.col("_u") <= F.col("_last")))
-    rows = rows.withColumn("copies", (F.col("_whole") + F.when(extra, 1).otherwise(0)).cast("long"))
+    for n in held:
+        whole, rest = divmod(quota[n], n) if n else (1, 0)
+        plan.append((n, float(weights[n]), whole, rest, max(1, -(-n // block_tokens))))
+    plan = sources.join(spark.createDataFrame(plan, "n long, weight double, whole long, rest long, parts long"), "n")
+    # the last epoch: tokens of each of its blocks, the block that its remainder ends in, and where in it
+    hashed = lambda e: F.xxhash64(F.col("u"), e)
+    dealt = small.join(plan, "s").withColumn("v", hashed(F.col("whole"))).withColumn("b", F.pmod(F.col("v"), F.col("parts")))
+    blocks = store(dealt.groupBy("s", "b").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest")), "mix-blocks")
+    upto = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)  # blocks, not rows
+    ends = blocks.withColumn("end", F.sum("t").over(upto)).withColumn("begin", F.col("end") - F.col("t"))
+    cut = ends.where("begin < rest and end >= rest").groupBy("s").agg(F.min("b").alias("cut"), F.min_by(F.col("rest") - F.col("begin"), "b").alias("left"))
+    plan = store(plan.join(cut, "s", "left"), "mix-cuts")
+    edge = small.join(plan.where("cut is not null"), "s").withColumn("v", hashed(F.col("whole"))).where("pmod(v, parts) = cut")
+    edge = edge.groupBy("s", "v", "left").agg(F.sum("tokens").alias("tokens"))
+    edge = edge.withColumn("end", F.sum("tokens").over(Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    last = edge.where(F.col("end") - F.col("tokens") < F.col("left")).groupBy("s").agg(F.max("v").alias("last"))
+    plan = store(plan.join(last, "s", "left"), "mix-plan")  # a row for each source; a small one is broadcast
+    for used in (small, blocks):
+        drop_stored(used)
+    drawn = rows.join(plan, "s").withColumn("v", hashed(F.col("whole"))).withColumn("b", F.pmod(F.col("v"), F.col("parts")))
+    extra = F.coalesce((F.col("b") < F.col("cut")) | ((F.col("b") == F.col("cut")) & (F.col("v") <= F.col("last"))), F.lit(False))
+    drawn = drawn.withColumn("copies", (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("long"))
     out_blocks = max(1, -(-total // block_tokens))
-    place = (F.col("_b") + F.pmod(F.xxhash64("_u"), F.lit(1 << 20)) / F.lit(float(1 << 20))) / F.col("_blocks")
-    drawn = F.greatest(F.when(extra, F.col("_whole") + place).otherwise(F.col("_whole") - 1 + place), F.lit(0.0)) * F.col("_n")
-    block = F.floor(drawn / F.greatest(F.col("_whole") * F.col("_n") + F.col("_rest"), F.lit(1)) * out_blocks)
-    rows = rows.withColumn("block", F.least(F.greatest(block, F.lit(0)), F.lit(out_blocks - 1)).cast("long"))
-    return rows.select(*[c for c in docs.columns if c not in ("tokens", "weight", "copies", "block")], "tokens", "weight", "copies", "block")
+    span = F.greatest(F.col("whole") * F.col("n") + F.col("rest"), F.lit(1))
+
+    def block(epoch: Column) -> Column:
+        """The share of the source's drawn tokens that come before the row in an epoch, as a block."""
+        v = hashed(epoch)
+        place = (F.pmod(v, F.col("parts")) + (v / F.lit(2.0**63) + 1) / 2) / F.col("parts")
+        return F.least(F.floor((epoch + place) * F.col("n") / span * out_blocks), F.lit(out_blocks - 1)).cast("long")
+
+    every = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), block)).otherwise(F.array().cast("array<long>"))
+    drawn = drawn.withColumn("blocks", every)  # by itself: beside row.* its names could mean the caller's columns
+    return drawn.select("row.*", "tokens", "weight", "copies", "blocks")
 
 
-def draw(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Every row of mix() as often as it is drawn."""
-    return mixed.where("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+def draw(mixed: DataFrame, columns: list[str], block: str | None = None) -> DataFrame:
+    """Every row of mix() as often as it is drawn; with `block`, a column of that name holds each
+    drawing's block."""
+    each = mixed.select(*(F.col(f"`{c}`") for c in columns), F.explode("blocks").alias(block or "\0block"))
+    return each if block else each.select(*(F.col(f"`{c}`") for c in columns))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "source", "tokens", F.round("weight", 9).alias("weight"), "copies", "block")
+    return mix(docs, target_entropy=0.9).select("doc_id", "source", "tokens", F.round("weight", 9).alias("weight"), "copies", "blocks")

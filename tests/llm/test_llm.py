@@ -406,37 +406,79 @@ def test_iban_before_other_words(spark):
 # Mixing and packing -------------------------------------------------------------------------------
 
 
-def test_exponent():
-    tokens_ = {"a": 900, "b": 90, "c": 10, "d": 0}
-    x = mixing.find_exponent(tokens_, 0.9, 1e9)
-    assert mixing.entropy(mixing.tempered(tokens_, x)) == pytest.approx(0.9 * np.log(3), abs=1e-9)
-    x = mixing.find_exponent(tokens_, 1.0, 3.0)
-    assert mixing.spread({k: v for k, v in tokens_.items() if v}, mixing.tempered(tokens_, x)) <= 3.0 + 1e-6
-    assert mixing.find_exponent({"a": 5}, 0.5, 2.0) == 1.0
+def _brute_exponent(totals, target, limit):
+    """The exponent by a fine scan instead of bisection, with weights of its own."""
+    live = [n for n in totals if n]
+    best = None
+    for i in range(200_000, -1, -1):
+        x = i / 200_000
+        raw = np.array(live, float) ** x
+        w = raw / raw.sum()
+        rates = w / np.array(live)
+        if target is not None and -(w * np.log(w)).sum() < target * np.log(len(live)) - 1e-12:
+            continue
+        best = x
+        break
+    best = 0.0 if target is None else best
+    while rates_ratio(live, best) > limit:
+        best += 1 / 200_000
+    return best
+
+
+def rates_ratio(live, x):
+    rates = np.array(live, float) ** (x - 1)
+    return rates.max() / rates.min()
+
+
+@pytest.mark.parametrize("target, limit", [(0.9, 1e9), (1.0, 3.0), (None, 2.0), (0.5, 1.5)])
+def test_exponent(target, limit):
+    totals = {900: 1, 90: 2, 10: 1, 0: 1}
+    x = mixing.find_exponent(totals, target, limit)
+    assert x == pytest.approx(_brute_exponent([900, 90, 90, 10], target, limit), abs=2e-5)
+    assert mixing.find_exponent({5: 1}, 0.5, 2.0) == 1.0 and mixing.find_exponent({}, 0.5, 2.0) == 1.0
 
 
 def test_mix(spark, docs):
     rng = random.Random(3)
-    rows = [(i, "w " * rng.randint(0, 30), "big" if i % 10 else rng.choice(["x", "y"]), i) for i in range(800)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, weight long")
-    out = mixing.mix(df, repeat_limit=2.0, block_tokens=500).collect()
-    n = {i: len(t.split()) for i, t, _, _ in rows}
+    rows = [(i, "w " * rng.randint(0, 30), "big" if i % 10 else rng.choice(["x", "y"]), i, "a", 3) for i in range(800)]
+    # columns that clash with added and inner ones
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, weight long, u string, v int")
+    n = {i: len(t.split()) for i, t, *_ in rows}
     total = {}
-    for _, t, s, _ in rows:
-        total[s] = total.get(s, 0) + len(t.split())
-    w = mixing.tempered(total, mixing.find_exponent(total, None, 2.0))
-    budget, quota = mixing.quotas(total, w)
-    drawn = {}
+    for i, _, s, *_ in rows:
+        total[s] = total.get(s, 0) + n[i]
+    x = _brute_exponent(list(total.values()), None, 2.0)
+    weight = {s: k**x / sum(m**x for m in total.values()) for s, k in total.items()}
+    budget = max(k / weight[s] for s, k in total.items())
+    out = mixing.mix(df, repeat_limit=2.0, block_tokens=2000).collect()
+    drawn, filled = {}, {}
     for r in out:
-        assert r["tokens"] == n[r["doc_id"]] and r["copies"] >= 1 and 0 <= r["block"] < -(-budget // 500)
+        assert r["tokens"] == n[r["doc_id"]] and r["copies"] >= 1 and len(r["blocks"]) == r["copies"] and (r["u"], r["v"]) == ("a", 3)
+        assert r["weight"] == pytest.approx(weight[r["source"]], abs=1e-4)
         drawn[r["source"]] = drawn.get(r["source"], 0) + r["tokens"] * r["copies"]
-    assert len(out) == 800 and all(0 <= drawn[s] - quota[s] <= 60 for s in total)
-    half = mixing.mix(df, repeat_limit=2.0, budget=budget // 2, block_tokens=500).collect()
-    assert {r["copies"] for r in half} <= {0, 1} and abs(sum(r["tokens"] * r["copies"] for r in half) - budget // 2) < 120
+        for b in r["blocks"]:
+            filled.setdefault(b, {}).setdefault(r["source"], []).append(r["tokens"])
+    assert len(out) == 800 and all(-2 <= drawn[s] - weight[s] * budget <= 70 for s in total)
+    assert set(filled) == set(range(-(-round(budget) // 2000)))
+    for parts in filled.values():  # each block about full, with a hash for the order
+        assert sum(map(sum, parts.values())) == pytest.approx(budget / len(filled), rel=0.3)
+    twice = [r["blocks"] for r in out if r["copies"] == 2]
+    assert twice and len({b[1] - b[0] for b in twice}) > 2 and all(a <= b for a, b in twice)  # epochs differ in order
+    half = mixing.mix(df, repeat_limit=2.0, budget=round(budget) // 2, block_tokens=500).collect()
+    assert {r["copies"] for r in half} <= {0, 1} and abs(sum(r["tokens"] * r["copies"] for r in half) - budget / 2) < 130
+    assert all(len(r["blocks"]) == r["copies"] for r in half)
     edge = mixing.mix(docs).collect()
     assert len(edge) == docs.count() and all(r["copies"] >= 1 for r in edge)
     assert mixing.mix(docs.where("false")).count() == 0
-    assert mixing.draw(mixing.mix(df), ["doc_id"]).count() == sum(r["copies"] for r in mixing.mix(df).collect())
+    made = mixing.draw(mixing.mix(df, block_tokens=2000), ["doc_id"], "block")
+    assert sorted((r["doc_id"], r["block"]) for r in made.collect()) == sorted((r["doc_id"], b) for r in out for b in r["blocks"])
+    assert mixing.draw(mixing.mix(df), ["doc_id"]).columns == ["doc_id"]
+
+
+def test_many_sources(spark):
+    """More sources than rows of any other test: no limit on their number."""
+    df = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', 1 + cast(id % 5 as int)) as text", "cast(id as string) as source")
+    assert mixing.mix(df).where("copies >= 1 and size(blocks) = copies").count() == 3000
 
 
 def _check_bins(rows, cap):
