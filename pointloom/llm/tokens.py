@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from .common import split_words, store
 
-VOCABULARY = 49408
 SUB_BATCH_BYTES = 2 << 20
 MARKS = b".,;:!?"
 
@@ -41,9 +40,12 @@ class _Numbered(dict):
 
 class WordEncoder:
     """tokenizers.encode(text, add_special_tokens=False) for a BPE tokenizer with word ends (</w>)
-    that lower-cases and never lets a token or a normalisation reach over ASCII white space: the library encodes each distinct word once, and
-    numpy gathers the ids. When the word table passes `limit`, it
-    drops what one batch alone has had, so memory is bounded."""
+    that lower-cases and never lets a token or a normalisation reach over ASCII white space: the library
+    encodes each distinct word once, and numpy gathers the ids. Whether a tokenizer is of that kind is tried
+    on PROBES when it is loaded; one that is not encodes whole texts by itself. When the word table
+    passes `limit`, it drops what one batch alone has had, so memory is bounded."""
+
+    PROBES = ("Ab cD, ef. GH!", " a  b\tc\nD\x0be\x0c", "don't x!y we'll A.B?", "İstanbul Straße naïve ΑΣ ΑΣ.", "x\x85y\xa0z 12 3,4 <b>", "é東京 😀 \x1ca")
 
     def __init__(self, path: str, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,7 +57,20 @@ class WordEncoder:
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.vocabulary = max(self.tokenizer.get_vocab_size(), 1 + max(self.tokenizer.get_vocab().values()))
+        self.by_word = False
         self._clear()
+        want = self._whole(list(self.PROBES))
+        self.by_word = bool(self.closes.any())
+        if self.by_word:
+            got = self.encode(pa.array(self.PROBES))
+            self.by_word = all(np.array_equal(x, y) for x, y in zip(got, want))
+            self._clear()
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(counts.sum())), counts
 
     def _clear(self) -> None:
         self.index, self.seen = _Numbered(), np.zeros(1 << 16, np.int32)
@@ -129,9 +144,7 @@ class WordEncoder:
             else:
                 others += at
         if others:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(text(others), add_special_tokens=False)]
-            counts = np.fromiter(map(len, each), np.int64, len(each))
-            self._set(np.array(others), np.fromiter(chain.from_iterable(each), np.uint32, int(counts.sum())), counts)
+            self._set(np.array(others), *self._whole(text(others)))
         if same:
             at, low = np.array(same).T
             self.start[at], self.count[at] = self.start[low], self.count[low]
@@ -141,6 +154,8 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
+        if not self.by_word:
+            return self._whole(["" if t is None else t for t in texts.to_pylist()])
         if len(self.index) > self.limit:
             self._forget()
         at, words, per_text = split_words(texts)
@@ -186,55 +201,46 @@ MAGIC = b"RPGS"
 _HEAD = struct.Struct("<4sBBHIIIIQQ")
 
 
-def repair(ids: np.ndarray, vocabulary: int, end_id: int, rounds: int = 2, per_round: int = 8000, least: int = 24):
-    """(symbols, rules): frequent adjacent pairs become nonterminals, `per_round` pairs in a round.
-    No pair begins with a symbol that closes a document, so each document stays whole symbols."""
-    seq, rules, top = ids.astype(np.uint32), [], vocabulary
-    closing = np.zeros(vocabulary + rounds * per_round, bool)
+def repair(ids: np.ndarray, vocabulary: int, end_id: int, least: int = 8, per_round: int = 16_000):
+    """(symbols, rules): again and again, the most frequent adjacent pairs become nonterminals, until no pair
+    occurs `least` times. A rule costs 12 bytes in the file and spares 4 at each use, so rarer pairs
+    hardly pay. A round takes the `per_round` most frequent pairs at once, counted on hash buckets first;
+    what it leaves comes in a later round. No pair begins with a symbol that closes a document, so each
+    document stays whole symbols."""
+    seq, rules, top = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], vocabulary
+    closing = np.zeros(vocabulary, bool)
     closing[end_id] = True
     bits = np.uint32((1 << 20) - 1)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
         bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(7) & bits
         free = ~closing[left]
-        counts = np.bincount(bucket[free], minlength=1 << 20)
-        best = np.flatnonzero(counts >= least)
-        if len(best) > per_round:
-            best = best[np.argpartition(counts[best], -per_round)[-per_round:]]
-        chosen = np.zeros(1 << 20, bool)
-        chosen[best] = True
-        at = np.flatnonzero(chosen[bucket] & free)
-        pairs, n = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_counts=True)
-        keep = n >= least
-        pairs, n = pairs[keep], n[keep]
-        if not len(pairs):
+        often = np.bincount(bucket[free], minlength=1 << 20) >= least
+        at = np.flatnonzero(often[bucket] & free)
+        pairs, of, n = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_inverse=True, return_counts=True)
+        chosen = np.flatnonzero(n >= least)
+        if not len(chosen):
             break
-        order = np.argsort(n, kind="stable")[-per_round:]  # ascending: of two pairs in one bucket the more frequent is written last
-        pairs = pairs[order]
-        a, b = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
-        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(7) & bits
-        table = np.full(1 << 20, -1, np.int32)
-        table[slot] = np.arange(len(pairs))
-        rule = table[bucket[at]]
-        hit = (rule >= 0) & (a[rule] == left[at]) & (b[rule] == right[at])
-        at, rule = at[hit], rule[hit]
+        if len(chosen) > per_round:
+            chosen = np.sort(chosen[np.argsort(-n[chosen], kind="stable")[:per_round]])
+        rule_of = np.full(len(pairs), -1)
+        rule_of[chosen] = np.arange(len(chosen))
+        rule = rule_of[of]
+        at, rule = at[rule >= 0], rule[rule >= 0]
         run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) == 1, 0, np.arange(len(at))))
         take = (np.arange(len(at)) - run) % 2 == 0  # of overlapping pairs every other one
         at, rule = at[take], rule[take]
-        used = np.unique(rule)
-        number = np.zeros(len(pairs), np.uint32)
-        number[used] = np.arange(top, top + len(used))
-        closing[top : top + len(used)] = closing[b[used]]
-        rules.append(np.stack([a[used], b[used]], 1))
-        top += len(used)
+        used, number = np.unique(rule, return_inverse=True)
+        a, b = (pairs[chosen[used]] >> np.uint64(32)).astype(np.uint32), pairs[chosen[used]].astype(np.uint32)
+        rules.append(np.stack([a, b], 1))
         seq = seq.copy()
-        seq[at] = number[rule]
+        seq[at] = (top + number).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+        closing = np.concatenate([closing, closing[b]])
+        top += len(used)
+    return seq, np.concatenate(rules)
 
 
 def rule_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -250,17 +256,19 @@ def rule_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    seq = symbols.astype(np.uint32)
-    while len(at := np.flatnonzero(seq >= vocabulary)):
-        pair = rules[seq[at] - vocabulary]
-        wide = np.ones(len(seq), np.int64)
-        wide[at] = 2
-        out = np.repeat(seq, wide)
-        first = at + np.arange(len(at))
-        out[first], out[first + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+def expand(symbols: np.ndarray, rules: np.ndarray, size: np.ndarray, vocabulary: int) -> np.ndarray:
+    """The ids of symbols. size, the expansion length of every symbol, gives each its place in the output,
+    and each half of a rule its place after the other; only nonterminals go into the next step."""
+    n = size[symbols]
+    place = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), np.uint32)
+    todo = symbols
+    while len(todo):
+        plain = todo < vocabulary
+        out[place[plain]] = todo[plain]
+        pair, place = rules[todo[~plain] - vocabulary], place[~plain]
+        todo, place = pair.ravel(), np.stack([place, place + size[pair[:, 0]]], 1).ravel()
+    return out
 
 
 def pack_shard(doc_ids: list, ids: np.ndarray, lengths: np.ndarray, vocabulary: int, end_id: int) -> bytes:
@@ -268,43 +276,54 @@ def pack_shard(doc_ids: list, ids: np.ndarray, lengths: np.ndarray, vocabulary:
     symbols, rules = repair(ids, vocabulary, end_id)
     size = rule_lengths(rules, vocabulary)
     tokens = np.concatenate(([0], np.cumsum(lengths))).astype(np.uint64)
-    ends = np.cumsum(size[symbols]) if len(symbols) else np.zeros(0, np.int64)
-    at = np.searchsorted(ends, tokens[1:], side="left") + 1
     width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
-    head = _HEAD.pack(MAGIC, 1, width, 0, vocabulary, len(rules), len(doc_ids), end_id, len(symbols), len(ids))
+    head = _HEAD.pack(MAGIC, 2, width, 0, vocabulary, len(rules), len(doc_ids), end_id, len(symbols), len(ids))
     known = np.array([d is not None for d in doc_ids], np.uint8)
     parts = [
         head, rules.astype("<u4"), size[vocabulary:].astype("<u4"), np.array([d or 0 for d in doc_ids], "<i8"), known,
-        np.concatenate(([0], at)).astype("<u8"), tokens.astype("<u8"), symbols.astype(f"<u{width}"),
+        tokens.astype("<u8"), symbols.astype(f"<u{width}"),
     ]
     return b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
 
 
 class Shard:
-    """Reads a shard file; ids(k) decodes document k alone."""
+    """Reads a shard file. Any range of its ids is decoded alone: the expansion lengths of the symbols, added
+    up, lead to the symbols that cover it."""
 
     def __init__(self, blob: bytes):
         magic, version, width, _, self.vocabulary, n_rules, self.n_docs, self.end_id, n_symbols, self.n_tokens = _HEAD.unpack_from(blob)
-        if magic != MAGIC or version != 1:
+        if magic != MAGIC or version != 2:
             raise ValueError("not a shard file")
         self.at = _HEAD.size
         take = lambda kind, n: self._take(blob, kind, n)
         self.rules, self.lengths = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
         doc, known = take("<i8", self.n_docs), take("u1", self.n_docs)
         self.doc_ids = [int(d) if k else None for d, k in zip(doc, known)]
-        self.symbol_at, self.token_at = take("<u8", self.n_docs + 1).astype(np.int64), take("<u8", self.n_docs + 1).astype(np.int64)
+        self.token_at = take("<u8", self.n_docs + 1).astype(np.int64)
         self.symbols = take(f"<u{width}", n_symbols)
+        self.size = np.concatenate([np.ones(self.vocabulary, np.int64), self.lengths.astype(np.int64)])
+        self.ends = np.cumsum(self.size[self.symbols])
+        if int(self.ends[-1] if n_symbols else 0) != self.n_tokens:
+            raise ValueError("expansion lengths do not add up")
 
     def _take(self, blob: bytes, kind: str, n: int) -> np.ndarray:
         out = np.frombuffer(blob, kind, n, self.at)
         self.at += out.nbytes
         return out
 
+    def range(self, start: int, stop: int) -> np.ndarray:
+        """The ids from start to stop."""
+        if start >= stop:
+            return np.zeros(0, np.uint32)
+        a, b = int(np.searchsorted(self.ends, start, side="right")), int(np.searchsorted(self.ends, stop, side="left")) + 1
+        skip = start - (int(self.ends[a - 1]) if a else 0)
+        return expand(self.symbols[a:b], self.rules, self.size, self.vocabulary)[skip : skip + stop - start]
+
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.vocabulary)
+        return self.range(0, self.n_tokens)
 
     def ids(self, k: int) -> np.ndarray:
-        return expand(self.symbols[self.symbol_at[k] : self.symbol_at[k + 1]], self.rules, self.vocabulary)
+        return self.range(int(self.token_at[k]), int(self.token_at[k + 1]))
 
 
 SHARDS = "part int, seq int, n_docs long, n_tokens long, shard binary"
@@ -315,7 +334,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: in
     doc_id order, and returns the written table of shards, ordered by (part, seq).
 
     Null texts are empty, null doc_ids come first, repeated rows are written as often as they come,
-    an empty table gives no shard. A shard holds whole documents and closes at `shard_tokens` ids,
+    texts of any length are taken whole, an empty table gives no shard. A shard holds whole documents and closes at `shard_tokens` ids,
     so a task holds one shard, or one document where that is longer."""
     path = tokenizer or default_tokenizer()
 
@@ -327,7 +346,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: in
 
         def close():
             nonlocal keys, ids, lengths, held, seq
-            blob = pack_shard(keys, np.concatenate(ids), np.concatenate(lengths), VOCABULARY, end_id)
+            blob = pack_shard(keys, np.concatenate(ids), np.concatenate(lengths), max(encoder_for(path, table_words).vocabulary, end_id + 1), end_id)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())],
                 names=["part", "seq", "n_docs", "n_tokens", "shard"],

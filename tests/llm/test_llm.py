@@ -63,10 +63,47 @@ def test_repair_round_trip():
     assert (s.all_ids() == ids).all() and len(s.rules) and len(s.symbols) < len(ids)
     assert all((s.ids(k) == np.append(d, 1)).all() for k, d in enumerate(docs_))
     assert (tokens.rule_lengths(s.rules, 49408)[49408:] == s.lengths).all()
+    rng = np.random.default_rng(4)
+    for a, b in np.sort(rng.integers(0, len(ids) + 1, (200, 2)), axis=1).tolist() + [[0, 0], [0, 1], [len(ids) - 1, len(ids)]]:
+        assert (s.range(a, b) == ids[a:b]).all() and len(s.range(a, b)) == b - a
+    pairs = {}  # no pair that may be replaced occurs 8 times any more
+    closes = np.zeros(49408 + len(s.rules), bool)
+    closes[1] = True
+    for i, (_, y) in enumerate(s.rules):
+        closes[49408 + i] = closes[y]
+    for i, (x, y) in enumerate(zip(s.symbols[:-1].tolist(), s.symbols[1:].tolist())):
+        pairs[x, y] = pairs.get((x, y), 0) + (not closes[x])
+    assert max(pairs.values()) < 8
     with pytest.raises(ValueError):
         tokens.Shard(b"x" * 100)
 
 
+@pytest.mark.parametrize("end", [1, 5])
+def test_repair_of_runs(end):
+    """Runs of one id, documents of one id, an empty sequence and repeated documents."""
+    for ids in ([], [end], [end] * 50, [7] * 99 + [end], ([3, 4, 5, 6] * 20 + [end]) * 30, [2, end] * 40):
+        ids = np.array(ids, np.uint32)
+        n = np.diff(np.flatnonzero(ids == end), prepend=-1) if end not in (3, 4, 5, 6) else np.array([len(ids)] if len(ids) else [], int)
+        s = tokens.Shard(tokens.pack_shard(list(range(len(n))), ids, n, 10, end))
+        assert (s.all_ids() == ids).all() and (tokens.rule_lengths(s.rules, 10)[10:] == s.lengths).all()
+
+
+def test_any_tokenizer(spark):
+    """A tokenizer that the word table does not suit encodes whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["Ab cD  ef", None, "", "x" * 3000, "é 東京\n\ny"]
+    ids, n = tokens.encoder_for(path).encode(pa.array(texts))
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want)) and tokens.encoder_for(TOKENIZER).by_word
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in tokens.read_token_shards(tokens.write_token_shards(df, path, 50256)).collect()}
+    assert got == {i: w + [50256] for i, w in enumerate(want)}
+
+
 def test_token_shards(spark, docs):
     got = tokens.read_token_shards(tokens.write_token_shards(docs, shard_tokens=1000)).collect()
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
