@@ -4,8 +4,6 @@ Everything here is a DataFrame expression; no Python runs on the executors."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +50,17 @@ GATES = {
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"),
 }
 CONTEXT = {
-    "email": r"\b(?:e-?mail|mail|contact|write|address)\b",
-    "ip": r"\b(?:ip|host|server|address|login)\b",
-    "card": r"\b(?:card|visa|credit|debit|payment|mastercard)\b",
-    "phone": r"\b(?:phone|call|tel|telephone|mobile|fax)\b",
-    "iban": r"\b(?:iban|bank|account|transfer|konto|compte|cuenta)\b",
+    "email": "e-?mail|mail|contact|write|address",
+    "ip": "ip|host|server|address|login",
+    "card": "card|visa|credit|debit|payment|mastercard",
+    "phone": "phone|call|tel|telephone|mobile|fax",
+    "iban": "iban|bank|account|transfer|konto|compte|cuenta",
 }
 START_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.8}
 CONTEXT_CHARS = 40
 
-SPAN = "array<struct<kind:string,start:bigint,end:bigint,text:string>>"
+SPAN = "array<struct<kind:string,start:bigint,end:bigint,text:string,score:double>>"
+CHUNK = 64  # matches whose places are added up one after the other
 
 
 def _digits(c: Column) -> Column:
@@ -101,79 +100,117 @@ def _valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunks(array: Column) -> Column:
+    """An array that is not empty as an array of arrays of CHUNK elements."""
+    return F.transform(F.sequence(F.lit(0), F.size(array) - 1, F.lit(CHUNK)), lambda i: F.slice(array, i + 1, F.lit(CHUNK)))
+
+
+def _by_chunks(array: Column, first: Column, after, spans) -> Column:
+    """flatten of spans(chunk, state) over an array's chunks, where after(state, chunk) is the state after a
+    chunk and `first` the one before all. Appending to an array copies it, so one fold over all matches
+    would take the square of their number; states are a CHUNK-th of them."""
+
+    def fold(chunks: Column) -> Column:
+        states = F.aggregate(chunks, F.array(first), lambda acc, c: F.concat(acc, F.array(after(F.element_at(acc, -1), c))))
+        return F.flatten(F.zip_with(chunks, F.slice(states, 1, F.size(chunks)), spans))
+
+    return let(array, lambda a: let(_chunks(a), fold))
+
+
+def score(kind: str, before: Column, after: Column) -> Column:
+    """From 0 to 1: the kind's own, raised by a context word within CONTEXT_CHARS of the text between this
+    match and its neighbours."""
+    near = F.concat(F.right(before, F.lit(CONTEXT_CHARS)), F.lit("\n"), F.left(after, F.lit(CONTEXT_CHARS)))
+    base = START_SCORE[kind]
+    return F.when(near.rlike(f"(?i)(?:^|[^A-Za-z0-9])(?:{CONTEXT[kind]})(?:[^A-Za-z0-9]|$)"), F.lit(round((1 + base) / 2, 3))).otherwise(F.lit(base))
+
+
+def _span(kind: str, start: Column, end: Column, text: Column, value: Column) -> Column:
+    return F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), text.alias("text"), value.alias("score"))).cast(SPAN)
+
+
 def find_kind(text: Column, kind: str) -> Column:
-    """Spans of one kind in order. Matches and the gaps between them give the positions."""
+    """Spans of one kind in order, with scores. Matches and the gaps between them give the positions."""
     pattern = PATTERNS[kind]
-    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, h: F.struct(F.length(g).cast("long").alias("gap"), h.alias("hit")))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = let(F.split(text, pattern, -1), lambda g: F.arrays_zip(g.alias("gap"), hits.alias("hit"), F.slice(g, F.lit(2), F.size(g)).alias("next")))
+    width = lambda p: F.length(p["gap"]).cast("long") + F.coalesce(F.length(p["hit"]).cast("long"), F.lit(0).cast("long"))
 
     def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        end = start + F.coalesce(F.length(p["hit"]).cast("long"), F.lit(0).cast("long"))
-        one = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["hit"].alias("text"))).cast(SPAN)
-        return F.struct(end.alias("at"), F.when(p["hit"].isNotNull(), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("found"))
-    found = F.filter(F.aggregate(pieces, zero, step)["found"], lambda s: _valid(kind, s["text"]))
+        end = acc["at"] + width(p)
+        one = _span(kind, acc["at"] + F.length(p["gap"]).cast("long"), end, p["hit"], score(kind, p["gap"], p["next"]))
+        keep = F.when(p["hit"].isNotNull(), _valid(kind, p["hit"])).otherwise(False)
+        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+
+    found = _by_chunks(
+        pieces, F.lit(0).cast("long"),
+        lambda at, c: F.aggregate(c, at, lambda a, p: a + width(p)),
+        lambda c, at: F.aggregate(c, F.struct(at.alias("at"), F.array().cast(SPAN).alias("found")), step)["found"],
+    )
     return F.when(GATES[kind](text), found).otherwise(F.array().cast(SPAN))
 
 
 def find_ibans(text: Column) -> Column:
-    """Spans of IBANs in order. Each place where one may begin is tried by itself, so a text that fails
-    its checksum hides none that begins inside it: first cut to its country's length, so that a word
-    after it is left alone, then as long as PATTERNS proposes. Of overlapping spans the first stays."""
+    """Spans of IBANs in order, with scores. Each place where one may begin is tried by itself, so a text
+    that fails its checksum hides none that begins inside it: first cut to its country's length, so that a
+    word after it is left alone, then as long as PATTERNS proposes. Of overlapping spans the first stays."""
     line = F.concat(F.lit("\n"), text)  # split() drops the empty piece before an empty match at the start
     tries = [F.regexp_extract_all(line, F.lit(IBAN_TRIES), F.lit(i)) for i in (1, 2)]
-    pieces = F.zip_with(F.split(line, IBAN_TRIES, -1), F.arrays_zip(tries[0].alias("cut"), tries[1].alias("longest")), lambda g, h: F.struct(F.length(g).cast("long").alias("gap"), h["cut"].alias("cut"), h["longest"].alias("longest")))
+    pieces = let(F.split(line, IBAN_TRIES, -1), lambda g: F.arrays_zip(g.alias("gap"), tries[0].alias("cut"), tries[1].alias("longest"), F.slice(g, F.lit(2), F.size(g)).alias("next")))
     passes = lambda c: F.when(F.length(c) > 0, mod97(c)).otherwise(False)
 
     def step(acc: Column, p: Column) -> Column:
-        at = acc["at"] + p["gap"]
+        at = acc["at"] + F.length(p["gap"]).cast("long")
         hit = F.when(passes(p["cut"]), p["cut"]).when(passes(p["longest"]), p["longest"])
-        end = at + F.length(hit).cast("long")
-        one = F.array(F.struct(F.lit("iban").alias("kind"), at.alias("start"), end.alias("end"), hit.alias("text"))).cast(SPAN)
-        fresh = hit.isNotNull() & (at >= acc["upto"])
-        return F.struct(at.alias("at"), F.when(fresh, end).otherwise(acc["upto"]).alias("upto"), F.when(fresh, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
-
-    zero = F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("upto"), F.array().cast(SPAN).alias("found"))
-    return F.when(GATES["iban"](text), F.aggregate(pieces, zero, step)["found"]).otherwise(F.array().cast(SPAN))
+        one = lambda h: _span("iban", at, at + F.length(h).cast("long"), h, score("iban", p["gap"], F.substring(p["next"], F.length(h) + 1, F.lit(CONTEXT_CHARS))))
+        return F.struct(at.alias("at"), let(hit, lambda h: F.when(h.isNotNull(), F.concat(acc["found"], one(h))).otherwise(acc["found"])).alias("found"))
 
-
-def scored(text: Column, spans: Column) -> Column:
-    """Each span with a score from 0 to 1: its kind's, raised by a context word within CONTEXT_CHARS."""
-
-    def one(s: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        around = F.lower(F.substring(text, (begin + 1).cast("int"), (s["end"] + CONTEXT_CHARS - begin).cast("int")))
-        near = reduce(lambda a, k: F.when(s["kind"] == k, around.rlike(CONTEXT[k])).otherwise(a), CONTEXT, F.lit(False))
-        base = reduce(lambda a, k: F.when(s["kind"] == k, F.lit(START_SCORE[k])).otherwise(a), START_SCORE, F.lit(0.0))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.round(base + F.when(near, (F.lit(1.0) - base) / 2).otherwise(0.0), 3).alias("score"))
-
-    return F.transform(spans, one)
+    found = _by_chunks(
+        pieces, F.lit(-1).cast("long"),
+        lambda at, c: F.aggregate(c, at, lambda a, p: a + F.length(p["gap"]).cast("long")),
+        lambda c, at: F.aggregate(c, F.struct(at.alias("at"), F.array().cast(SPAN).alias("found")), step)["found"],
+    )
+    end = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, -1)["end"]).otherwise(0)
+    apart = F.aggregate(found, F.array().cast(SPAN), lambda acc, s: F.when(s["start"] >= end(acc), F.concat(acc, F.array(s))).otherwise(acc))
+    return F.when(GATES["iban"](text), apart).otherwise(F.array().cast(SPAN))
 
 
 def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """Adds column `out`: the spans of every kind, ordered by kind as in PATTERNS and then by start,
-    each with kind, start, end (code points, end exclusive), text and score. A null text has none;
-    other columns, rows and their number stay as they are."""
-    spans = F.concat(*(find_ibans(F.col("_t")) if k == "iban" else find_kind(F.col("_t"), k) for k in PATTERNS))
-    found = df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_s", spans)
-    return found.withColumn(out, scored(F.col("_t"), F.col("_s"))).drop("_t", "_s")
+    each with kind, start, end (code points, end exclusive), text and score. A null or empty text has none,
+    a text of any length is searched whole in time close to its length, whatever it holds. Other columns,
+    of any name, rows and their number stay as they are; only a column of the name `out` is replaced."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != out)).alias("row")
+    found = df.select(row, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    spans = F.concat(*(find_ibans(F.col("t")) if k == "iban" else find_kind(F.col("t"), k) for k in PATTERNS))
+    return found.select("row", spans.alias("spans")).select("row.*", F.col("spans").alias(out))
 
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in angle brackets; of overlapping spans the
     first names the whole stretch."""
+    ends = lambda at, c: F.aggregate(c, at, lambda a, s: F.greatest(a, s["end"]))
+
+    def part(c: Column, at: Column) -> Column:
+        """What the chunk's spans leave of the text from the end of those before."""
+
+        def step(acc: Column, s: Column, piece: Column) -> Column:
+            gap = F.substring(piece, (acc["at"] - at + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+            new = F.concat(acc["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"]).alias("out"),
-        )
+        zero = F.struct(at.alias("at"), F.lit("").alias("out"))
+        piece = F.substring(text, (at + 1).cast("int"), (ends(at, c) - at).cast("int"))
+        return F.array(let(piece, lambda x: F.aggregate(c, zero, lambda acc, s: step(acc, s, x))["out"]))
 
+    zero = F.lit(0).cast("long")
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    done = F.aggregate(ordered, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    done = let(ordered, lambda o: F.concat(F.array_join(_by_chunks(o, zero, ends, part), ""), F.substring(text, (ends(zero, o) + 1).cast("int"), F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
@@ -185,7 +222,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "pii")
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+    scores = F.concat_ws(",", F.transform(base, lambda s: F.format_string("%.2f", s["score"])))
+    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"), scores.alias("scores"))
 
 
 def _sql() -> str:
@@ -208,8 +246,8 @@ def _sql() -> str:
     parts = []
     for n, (k, p) in enumerate(plain.items()):
         parts.append(f"""
-SELECT doc_id, {n} AS o, '{k}' AS kind, s, s + length(h) AS e, h FROM (
-  SELECT doc_id, h[i] AS h, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS s
+SELECT doc_id, {n} AS o, '{k}' AS kind, s, s + length(h) AS e, h, CASE WHEN regexp_matches(near, '(?i)(^|[^A-Za-z0-9])({CONTEXT[k]})([^A-Za-z0-9]|$)') THEN '{(1 + START_SCORE[k]) / 2:.2f}' ELSE '{START_SCORE[k]:.2f}' END AS score FROM (
+  SELECT doc_id, h[i] AS h, right(g[i], {CONTEXT_CHARS}) || chr(10) || left(g[i + 1], {CONTEXT_CHARS}) AS near, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS s
   FROM (SELECT doc_id, g, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS h FROM d)))
 WHERE {valid[k]}""")
     counts = ", ".join(f"coalesce(count(kind) FILTER (kind = '{k}'), 0) AS n_{k}" for k in BASE)
@@ -217,7 +255,7 @@ WHERE {valid[k]}""")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS ({" UNION ALL ".join(parts)})
 SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({row}, ',' ORDER BY o, s) FILTER (o < 4), '')) AS base_sha256,
-  coalesce(string_agg({row}, ',' ORDER BY o, s), '') AS spans
+  coalesce(string_agg({row}, ',' ORDER BY o, s), '') AS spans, coalesce(string_agg(score, ',' ORDER BY o, s) FILTER (o < 4), '') AS scores
 FROM d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id"""
 
 

@@ -408,8 +408,10 @@ def test_pii(spark):
     pieces = ["a.b@c.d", "x@y", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123456", "+1", " ", "é😀", "0", "12", "_d@e.f", "-", "999", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "\n"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(400)]
     texts += [None, "", "1" * 30_000, "a" * 60_000, "1." * 20_000, "a@b.c" * 300, "1-" * 20_000 + "2", "a.b@c.d " + "word " * 30_000 + "1.2.3.4"]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, _s string").drop("_s")
+    # columns with the names of inner ones stay, one of the output's name is replaced
+    df = spark.createDataFrame([(i, t, "x", 5, "y", "z") for i, t in enumerate(texts)], "doc_id long, text string, t string, row int, spans string, pii string")
     for r in pii.find_pii(df).collect():
+        assert (r["t"], r["row"], r["spans"]) == ("x", 5, "y")
         t = r["text"] or ""
         assert [(s["kind"], s["start"], s["end"]) for s in r["pii"] if s["kind"] in PLAIN] == _base(t), t[:200]
         assert all(t[s["start"] : s["end"]] == s["text"] and 0 < s["score"] <= 1 for s in r["pii"])
@@ -419,9 +421,27 @@ def test_pii(spark):
 
     red = pii.find_pii(spark.createDataFrame([("é mail a@b.c and 1.2.3.4!",)], "text string")).select(pii.redact(F.col("text"), F.col("pii"))).first()[0]
     assert red == "é mail <EMAIL> and <IP>!"
+    got = {s["text"]: s["score"] for s in pii.find_pii(spark.createDataFrame([("Mail: a@b.c, then " + "x" * 50 + " d@e.f; CALL +49 30 123456",)], "text string")).first()["pii"]}
+    assert got == {"a@b.c": 0.9, "d@e.f": 0.8, "+49 30 123456": 0.75}
     assert pii.find_pii(df.where("false")).count() == 0
 
 
+def test_pii_of_many_matches(spark):
+    """Time goes with the matches, not with their square, and redaction keeps the rest."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    took, piece = [], "é to a@b.co, 10.0.0.1 "
+    for n in (2_000, 32_000):
+        df = spark.createDataFrame([(piece * n,)], "text string")
+        start = time.time()
+        r = pii.find_pii(df).select(F.size("pii").alias("n"), F.col("pii")[2 * n - 1]["end"].alias("end"), pii.redact(F.col("text"), F.col("pii")).alias("red")).first()
+        took.append(time.time() - start)
+        assert r["n"] == 2 * n and r["end"] == len(piece) * n - 1 and r["red"] == "é to <EMAIL>, <IP> " * n
+    assert took[1] < 16 * 4 * max(took[0], 0.5)
+
+
 def test_iban_before_other_words(spark):
     """An IBAN followed by capitals or numbers, or that begins inside another proposal, is found whole."""
     from pyspark.sql import functions as F
