@@ -151,7 +151,8 @@ def predict(model: BiGRU, texts: list[str | None], batch: int = 4096) -> tuple[l
     best = total.argmax(1)
     score = total[np.arange(len(texts)), best] / np.maximum(total.sum(1), 1e-12)
     letters = [t is not None and any(map(str.isalpha, t)) for t in texts]
-    return [model.languages[b] if k else UNKNOWN for b, k in zip(best, letters)], np.where(letters, score, 0.0)
+    known = model.languages != [UNKNOWN]
+    return [model.languages[b] if k else UNKNOWN for b, k in zip(best, letters)], np.where(letters, score, 0.0) * known
 
 
 def training_rows(docs: DataFrame, sample: int) -> DataFrame:
@@ -191,25 +192,28 @@ def _load(blob: bytes) -> BiGRU:
 
 
 def identify(docs: DataFrame, model: BiGRU) -> DataFrame:
-    """docs with lang_pred and score added; docs needs a column text, other columns are kept as they are.
+    """docs with lang_pred and score added; docs needs a column text. Other columns, of any name, are kept
+    as they are; only columns named lang_pred or score are replaced.
 
-    Null texts and texts without a letter get `und` and score 0. Whole texts are read, in batches of
-    bounded bytes; a prediction takes nothing but the text."""
+    Null texts and texts without a letter get `und` and score 0, and so do all texts if the model
+    knows no language. Whole texts are read, however long, in batches of bounded bytes; a prediction
+    takes nothing but the text, so equal texts get equal rows. An empty table gives an empty result."""
     blob = pickle.dumps(model)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score"))).alias("row")
+    rows = docs.select(row, F.col("text").cast("string").alias("text"))
+    schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def label(batches):
         from .tokens import slices
 
         m = _load(blob)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
+            texts = batch.column("text")
             for a, b in slices(texts, 2 << 20):
                 lang, score = predict(m, texts.slice(a, b - a).to_pylist())
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
-    return docs.mapInArrow(label, schema)
+    return rows.mapInArrow(label, schema).select("row.*", "lang_pred", "score")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,33 +100,42 @@ def plan_packing(counts: dict[int, int], capacity: Capacity = Capacity(), rule:
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity(), order: tuple[str, ...] = ("doc_id", "piece"), rule: str = "dot", group_rows: int = 100_000) -> DataFrame:
-    """Adds sequence_id and offset to pieces(length, ...), each other column carried.
+    """Adds sequence_id and offset to pieces(length, ...). Other columns, of any name, are carried; only
+    columns named sequence_id or offset are replaced.
 
     Only the histogram of lengths, at most capacity.tokens rows, goes to the driver, where
     plan_packing() lays all bins out in runs. A piece's rank among those of its length comes from
-    sub-groups of about group_rows pieces, so a length that most pieces share is spread over tasks."""
+    sub-groups of about group_rows pieces, so a length that most pieces share is spread over tasks.
+    Ties of the `order` columns, nulls in them and repeated rows are pieces like any others; which of
+    equal pieces comes first is open. A null length or one that fits no sequence is a ValueError; an
+    empty table gives an empty result."""
     spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    groups = spark.createDataFrame([(n, -(-c // group_rows)) for n, c in counts.items()], "length long, _groups long")
-    salted = pieces.join(F.broadcast(groups), "length").withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_groups"))).drop("_groups")
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
+    row = F.struct(*(F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset"))).alias("row")
+    rows = pieces.select(row, F.col("length").cast("long").alias("length"), F.struct(*order).alias("key"))
+    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    if None in counts:
+        raise ValueError("a piece has no length")
+    groups = spark.createDataFrame([(n, -(-c // group_rows)) for n, c in counts.items()], "length long, groups long")
+    salted = rows.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("groups"))).drop("groups")
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     runs = spark.createDataFrame(
         [(n, a, a + k, s, e, o) for n, a, k, s, e, o in plan_packing(counts, capacity, rule)],
-        "length long, _from long, _to long, _first long, _each long, _at long",
+        "length long, low long, high long, first long, each long, at long",
     )
     # each sub-group's first rank with the runs that reach it
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-    reach = before.join(runs, "length").where("_from < _before + _n and _to > _before")
-    reach = store(reach.groupBy("length", "_salt").agg(F.first("_before").alias("_before"), F.sort_array(F.collect_list(F.struct("_from", "_to", "_first", "_each", "_at"))).alias("_runs")), "pack-runs")
-    in_group = Window.partitionBy("length", "_salt").orderBy(*order)
-    ranked = salted.withColumn("_rank", F.row_number().over(in_group) - 1).join(reach, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_rank"))
-    hit = F.filter("_runs", lambda r: (r["_from"] <= F.col("_rank")) & (F.col("_rank") < r["_to"]))[0]
-    ranked = ranked.withColumn("_run", hit).withColumn("_k", F.col("_rank") - F.col("_run._from"))
-    return ranked.select(
-        *pieces.columns,
-        (F.col("_run._first") + F.floor(F.col("_k") / F.col("_run._each"))).cast("long").alias("sequence_id"),
-        (F.col("_run._at") + F.pmod(F.col("_k"), F.col("_run._each")) * F.col("length")).cast("long").alias("offset"),
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    reach = before.join(runs, "length").where("low < before + n and high > before")
+    reach = store(reach.groupBy("length", "salt").agg(F.first("before").alias("before"), F.sort_array(F.collect_list(F.struct("low", "high", "first", "each", "at"))).alias("runs")), "pack-runs")
+    in_group = Window.partitionBy("length", "salt").orderBy("key")
+    ranked = salted.withColumn("rank", F.row_number().over(in_group) - 1).join(reach, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("rank"))
+    hit = F.filter("runs", lambda r: (r["low"] <= F.col("rank")) & (F.col("rank") < r["high"]))[0]
+    ranked = ranked.withColumn("run", hit).withColumn("k", F.col("rank") - F.col("run.low"))
+    placed = ranked.select(
+        "row",
+        (F.col("run.first") + F.floor(F.col("k") / F.col("run.each"))).cast("long").alias("sequence_id"),
+        (F.col("run.at") + F.pmod(F.col("k"), F.col("run.each")) * F.col("length")).cast("long").alias("offset"),
     )
+    return placed.select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tag: str) -> DataFrame:

@@ -12,8 +12,8 @@ from .common import drop_stored, new_path, store
 
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
-HEADER_LIMIT = 1 << 20
 LEAST_REVISIT_BYTES = 100
+FIELD = re.compile(rb"[!-9;-~]+:")
 
 
 def _digest(html: Column) -> Column:
@@ -32,7 +32,8 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
 
     Of rows with equal payloads of at least least_bytes the smallest page_id is a response and the
     others revisit it; rows that share that smallest page_id are all responses. A null html is an
-    empty payload, a null url has no target field, a null page_id is always a response. Control
+    empty payload, a null url has no target field, a null page_id is always a response. Payloads and urls
+    may have any length. Control
     characters in a url are percent-encoded. Other columns are ignored. Records end with the text
     writer's line separator, so Spark's commit protocol covers the archives on any file system."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("_payload"))
@@ -93,7 +94,8 @@ class _Ranges:
                 return None
             if (stop := data.find(END)) >= 0:
                 break
-            if len(data) < size or size >= HEADER_LIMIT:
+            # a header may be of any length; what is none, as magic inside a payload, shows in its lines
+            if len(data) < size or not all(map(FIELD.match, data[len(MAGIC) :].split(b"\r\n")[:-1])):
                 return None
             size *= 4
         fields = {}

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pointloom.llm import chat, common, langid, minhash, mixing, packing, pii, tokens, vectors, warc
 
@@ -121,10 +122,10 @@ def test_token_shards(spark, docs):
 def test_warc(spark, tmp_path):
     fake = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     html = {1: "a" * 100, 2: "a" * 100, 3: "b" * 99, 4: "b" * 99, 5: None, 6: "", 7: fake * 40, 8: "é" * 70, 9: "é" * 70, 10: "x\r\n\r\n" * 30, 11: "WARC/1.0\r\n" * 500, 12: "z" * 50_000}
-    rows = [(k, None if k == 4 else f"http://h/\r\n{k}", h, 1) for k, h in html.items()] + [(None, "u", "a" * 100, 1), (7, "u", fake * 40, 1)]
+    rows = [(k, None if k == 4 else f"http://h/\r\n{k}" + "/long" * 500_000 * (k == 5), h, 1) for k, h in html.items()] + [(None, "u", "a" * 100, 1), (7, "u", fake * 40, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, digest long").repartition(2)
     warc.write_archives(df, f"file://{tmp_path}/w")
-    for chunk in (500, 1 << 20):
+    for chunk in (20_000, 1 << 20):
         got = warc.read_archives(spark, f"file://{tmp_path}/w", chunk).collect()
         assert len(got) == len(rows)
         by = {}
@@ -294,6 +295,39 @@ def test_gradients():
         assert grad[name][at] == pytest.approx((up - down) / (2 * e), abs=2e-4)
 
 
+def test_forward_pass():
+    """The batched, windowed prediction against a plain loop over single bytes."""
+    m = langid.BiGRU(["a", "b", "c"], 4)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc é東 ") for _ in range(n)) for n in (1, 5, 127, 128, 129, 400)]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(codes, d):
+        h, s, out = m.hidden, np.zeros(m.hidden), []
+        for c in codes:
+            x = m.p[f"x{d}"][c].astype(float) + m.p[f"i{d}"]
+            g = s @ m.p[f"u{d}"]
+            z, r = sigmoid(x[:h] + g[:h]), sigmoid(x[h : 2 * h] + g[h:])
+            s = (1 - z) * s + z * np.tanh(x[2 * h :] + (r * s) @ m.p[f"c{d}"])
+            out.append(s)
+        return np.array(out)
+
+    def pooled(text):
+        data, total = text.encode(), np.zeros(3)
+        for a in range(0, len(data), langid.WINDOW):
+            codes = list(data[a : a + langid.WINDOW])
+            padded = codes + [0] * (langid.WINDOW - len(codes))
+            both = np.concatenate([states(padded, "f"), states(padded[::-1], "b")[::-1]], 1)
+            e = np.exp(both @ m.p["o"] + m.p["q"])
+            total += (e / e.sum(1, keepdims=True))[: len(codes)].sum(0)
+        return total / len(data)
+
+    lang, score = langid.predict(m, texts)
+    for t, k, v in zip(texts, lang, score):
+        p = pooled(t)
+        assert (k == "und") == (not any(map(str.isalpha, t))) and (k == "und" or (m.languages[p.argmax()] == k and v == pytest.approx(p.max(), abs=1e-5)))
+
+
 def test_language(spark, docs):
     rng = random.Random(2)
     make = lambda words: " ".join(rng.choices(words, k=60))
@@ -304,6 +338,8 @@ def test_language(spark, docs):
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     got = {r["doc_id"]: r for r in langid.identify(train, model).collect()}
     assert np.mean([got[i]["lang_pred"] == k for i, _, k in held]) > 0.95
+    clash = langid.identify(docs.selectExpr("*", "'old' as lang_pred", "5 as score", "1 as row"), model)
+    assert clash.columns == [*docs.columns, "row", "lang_pred", "score"] and clash.where("lang_pred = 'old' or score = 5 or row != 1").count() == 0
     out = langid.identify(docs, model).collect()
     assert len(out) == docs.count() and set(out[0].asDict()) == {*docs.columns, "lang_pred", "score"}
     for r in out:
@@ -417,8 +453,6 @@ def test_pii(spark):
         assert all(t[s["start"] : s["end"]] == s["text"] and 0 < s["score"] <= 1 for s in r["pii"])
     one = pii.find_pii(spark.createDataFrame([("my bank iban DE89 3704 0044 0532 0130 00 ok", 1), ("DE89 3704 0044 0532 0130 01", 2)], "text string, i int")).orderBy("i").collect()
     assert [s["kind"] for s in one[0]["pii"] if s["kind"] == "iban"] == ["iban"] and not [s for s in one[1]["pii"] if s["kind"] == "iban"]
-    from pyspark.sql import functions as F
-
     red = pii.find_pii(spark.createDataFrame([("é mail a@b.c and 1.2.3.4!",)], "text string")).select(pii.redact(F.col("text"), F.col("pii"))).first()[0]
     assert red == "é mail <EMAIL> and <IP>!"
     got = {s["text"]: s["score"] for s in pii.find_pii(spark.createDataFrame([("Mail: a@b.c, then " + "x" * 50 + " d@e.f; CALL +49 30 123456",)], "text string")).first()["pii"]}
@@ -430,8 +464,6 @@ def test_pii_of_many_matches(spark):
     """Time goes with the matches, not with their square, and redaction keeps the rest."""
     import time
 
-    from pyspark.sql import functions as F
-
     took, piece = [], "é to a@b.co, 10.0.0.1 "
     for n in (2_000, 32_000):
         df = spark.createDataFrame([(piece * n,)], "text string")
@@ -444,8 +476,6 @@ def test_pii_of_many_matches(spark):
 
 def test_iban_before_other_words(spark):
     """An IBAN followed by capitals or numbers, or that begins inside another proposal, is found whole."""
-    from pyspark.sql import functions as F
-
     german, british = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
     cases = [
         ("DE89370400440532013000 EUR 50", ["DE89370400440532013000"]), ("x DE89370400440532013000 2024 paid", ["DE89370400440532013000"]),
@@ -557,9 +587,15 @@ def test_packing(spark, cap, rule):
     rng = np.random.default_rng(1)
     top = min(cap.tokens, int(cap.attention**0.5))
     sizes = np.concatenate([rng.integers(1, top + 1, 700), np.full(300, top // 3), [1] * 50, [top] * 5]).tolist()
-    df = spark.createDataFrame([(i, 0, int(n), "x") for i, n in enumerate(sizes)], "doc_id long, piece int, length long, _rank string")
-    out = packing.pack(df.drop("_rank"), cap, rule=rule, group_rows=100).collect()
-    assert len(out) == len(sizes)
+    # names of inner and of added columns
+    df = spark.createDataFrame([(i, 0, int(n), "x", 7, "k", 8, 9) for i, n in enumerate(sizes)], "doc_id long, piece int, length long, rank string, salt int, key string, offset int, run int")
+    out = packing.pack(df, cap, rule=rule, group_rows=100).collect()
+    assert len(out) == len(sizes) and all((r["rank"], r["salt"], r["key"], r["run"]) == ("x", 7, "k", 9) for r in out)
+    again = packing.pack(df.union(df).withColumn("piece", F.lit(None).cast("int")), cap, rule=rule, group_rows=100).collect()
+    assert len(again) == 2 * len(sizes) and _check_bins(again, cap)
+    assert packing.pack(df.where("false"), cap).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(df.withColumn("length", F.lit(None).cast("long")), cap)
     used = _check_bins(out, cap)
     assert used <= 1.25 * max(sum(sizes) / cap.tokens, len(sizes) / cap.documents, sum(n * n for n in sizes) / cap.attention) + 60
     with pytest.raises(ValueError):
