@@ -639,3 +639,35 @@ def test_pipeline(spark, tmp_path):
     out = cp.run(spark, str(tmp_path)).collect()
     _check_bins(out, packing.Capacity())
     assert {r["doc_id"] for r in out} == want and len(out) == kept.count()
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Tables that are empty, have no label, repeat rows, hold nulls in every column or a very long text."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra int, row string"
+    word = lambda i: " ".join(f"w{(i * 31 + j * j) % 997}x{i}" for j in range(40))
+    plain = [(i, word(i), "en", "s", 9, 1, "r") for i in range(12)]
+    odd = plain + [plain[3], plain[3], (50, word(3), None, None, None, None, None), (None, word(4), None, "s", 1, 1, None), (None, word(4), "en", "t", 1, 1, None), (51, None, "en", "s", 0, 1, ""), (52, "", None, None, 0, 1, ""), (53, "long " * 60_000 + "a@b.co", "de", "t", 5, 1, "")]
+    cases = {"empty": [], "plain": plain, "unlabelled": [(*r[:2], None, *r[3:]) for r in plain], "odd": odd}
+    for name, rows in cases.items():
+        spark.createDataFrame(rows, schema).coalesce(2).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        kept = docs
+        for k, (_, stage) in enumerate(cp.STAGES[:-1]):
+            kept = common.store(stage(spark, kept, f"{tmp_path}/{name}"), "test-stage")
+            assert kept.columns == cp.COLUMNS
+            if k == 1:
+                once = kept
+        texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+        out = cp.run(spark, f"{tmp_path}/{name}").collect()
+        _check_bins(out, packing.Capacity())
+        if name == "empty":
+            assert not out and not texts
+        elif name == "odd":  # repeated rows once, the copy with the larger id, and texts without letters gone
+            assert set(texts) == {*range(12), None, 53} and once.where("doc_id = 3").count() == 1 and once.where("doc_id is null").count() == 2
+            assert texts[53] == "long " * 60_000 + "<EMAIL>" and {r["doc_id"] for r in out} == set(texts)
+        else:
+            assert {r["doc_id"] for r in out} == set(range(12)) == set(texts)
+        if name == "unlabelled":
+            assert kept.where("lang is not null").count() == 0
