@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import struct
+import zlib
 from itertools import chain, compress
 
 import numpy as np
@@ -161,9 +163,15 @@ class WordEncoder:
         at, words, per_text = split_words(texts)
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        number = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
-        if self.index.new:
-            self._learn()
+        collects = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and each collection would walk the whole word table
+        try:
+            number = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+            if self.index.new:
+                self._learn()
+        finally:
+            if collects:
+                gc.enable()
         self.seen[number] += 1
         ids, n = self._gather(number[at])
         upto = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[np.concatenate(([0], np.cumsum(per_text)))]
@@ -201,7 +209,7 @@ MAGIC = b"RPGS"
 _HEAD = struct.Struct("<4sBBHIIIIQQ")
 
 
-def repair(ids: np.ndarray, vocabulary: int, end_id: int, least: int = 8, per_round: int = 16_000):
+def repair(ids: np.ndarray, vocabulary: int, end_id: int, least: int = 16, per_round: int = 16_000):
     """(symbols, rules): again and again, the most frequent adjacent pairs become nonterminals, until no pair
     occurs `least` times. A rule costs 12 bytes in the file and spares 4 at each use, so rarer pairs
     hardly pay. A round takes the `per_round` most frequent pairs at once, counted on hash buckets first;
@@ -210,36 +218,60 @@ def repair(ids: np.ndarray, vocabulary: int, end_id: int, least: int = 8, per_ro
     seq, rules, top = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], vocabulary
     closing = np.zeros(vocabulary, bool)
     closing[end_id] = True
-    bits = np.uint32((1 << 20) - 1)
-    while len(seq) > 1:
-        left, right = seq[:-1], seq[1:]
-        bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(7) & bits
-        free = ~closing[left]
-        often = np.bincount(bucket[free], minlength=1 << 20) >= least
-        at = np.flatnonzero(often[bucket] & free)
-        pairs, of, n = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_inverse=True, return_counts=True)
+    # places whose pair may have become frequent: all, then those beside new symbols and those left over
+    open_ = np.flatnonzero(~closing[seq[:-1]])
+    while len(open_) >= least:
+        left, right = seq[open_], seq[open_ + 1]
+        bits = max(10, min(20, (2 * len(open_)).bit_length()))
+        bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
+        often = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= least)[bucket])
+        at = open_[often]
+        wide, deep = max(top, vocabulary).bit_length(), len(often).bit_length()
+        code = left[often].astype(np.uint64) << np.uint64(wide) | right[often]
+        if 2 * wide + deep <= 64:  # sorting values is much faster than sorting places
+            code = np.sort(code << np.uint64(deep) | np.arange(len(code), dtype=np.uint64))
+            order = (code & np.uint64((1 << deep) - 1)).astype(np.int64)
+            code >>= np.uint64(deep)
+        else:
+            order = np.argsort(code)  # of equal codes any order will do
+            code = code[order]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+        n = np.diff(first, append=len(code))
         chosen = np.flatnonzero(n >= least)
         if not len(chosen):
             break
+        left_over = np.zeros(0, np.int64)
         if len(chosen) > per_round:
-            chosen = np.sort(chosen[np.argsort(-n[chosen], kind="stable")[:per_round]])
-        rule_of = np.full(len(pairs), -1)
-        rule_of[chosen] = np.arange(len(chosen))
-        rule = rule_of[of]
+            best = np.argpartition(-n[chosen], per_round)
+            left_over = np.concatenate([at[order[first[c] : first[c] + n[c]]] for c in chosen[best[per_round:]]])
+            chosen = np.sort(chosen[best[:per_round]])
+        rule_of = np.full(len(first), -1, np.int32)
+        rule_of[chosen] = np.arange(len(chosen), dtype=np.int32)
+        rule = np.empty(len(at), np.int32)
+        rule[order] = np.repeat(rule_of, n)
         at, rule = at[rule >= 0], rule[rule >= 0]
+        pairs = code[first[chosen]]
         run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) == 1, 0, np.arange(len(at))))
         take = (np.arange(len(at)) - run) % 2 == 0  # of overlapping pairs every other one
+        left_over = np.concatenate([left_over, at[~take]])
         at, rule = at[take], rule[take]
-        used, number = np.unique(rule, return_inverse=True)
-        a, b = (pairs[chosen[used]] >> np.uint64(32)).astype(np.uint32), pairs[chosen[used]].astype(np.uint32)
+        some = np.bincount(rule, minlength=len(pairs)) > 0
+        number = np.cumsum(some, dtype=np.uint32) - np.uint32(1)
+        a, b = (pairs[some] >> np.uint64(wide)).astype(np.uint32), (pairs[some] & np.uint64((1 << wide) - 1)).astype(np.uint32)
         rules.append(np.stack([a, b], 1))
-        seq = seq.copy()
-        seq[at] = (top + number).astype(np.uint32)
+        seq[at] = np.uint32(top) + number[rule]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq = seq[stay]
+        fresh = np.zeros(len(seq), bool)
+        fresh[at] = True
+        again = np.zeros(len(seq), bool)
+        again[left_over] = True
+        seq, fresh, again = seq[stay], fresh[stay], again[stay]
         closing = np.concatenate([closing, closing[b]])
-        top += len(used)
+        top += len(a)
+        again[:-1] |= fresh[:-1] | fresh[1:]
+        open_ = np.flatnonzero(again[:-1])
+        open_ = open_[~closing[seq[open_]]]
     return seq, np.concatenate(rules)
 
 
@@ -329,7 +361,7 @@ class Shard:
 SHARDS = "part int, seq int, n_docs long, n_tokens long, shard binary"
 
 
-def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, shard_tokens: int = 1 << 20, table_words: int = 1_100_000) -> DataFrame:
+def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, shard_tokens: int = 1 << 20, table_words: int = 700_000) -> DataFrame:
     """Writes the ids of `docs` (doc_id, text; other columns are ignored) as shard files in ascending
     doc_id order, and returns the written table of shards, ordered by (part, seq).
 
@@ -368,24 +400,28 @@ def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: in
     return store(ordered.mapInArrow(shards, SHARDS), "token-shards")
 
 
-def read_token_shards(shards: DataFrame) -> DataFrame:
+def read_token_shards(shards: DataFrame, digest: bool = False) -> DataFrame:
     """One row per document, decoded from the shard files: doc_id, start, n_tokens, ids (binary,
-    little-endian unsigned 32 bits). start counts all ids of the documents before it."""
+    little-endian unsigned 32 bits; with `digest` their CRC-32 instead, ids_crc32). start counts all ids
+    of the documents before it."""
+    column, kind = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
 
     def rows(batches):
         for batch in batches:
             for base, blob in zip(batch.column("base").to_pylist(), batch.column("shard")):
                 s = Shard(blob.as_buffer())
                 data = s.all_ids().astype("<u4").tobytes()
+                value = zlib.crc32 if digest else bytes
+                view = memoryview(data)
                 for a in range(0, s.n_docs, 2000):
                     b = min(s.n_docs, a + 2000)
                     at = s.token_at[a : b + 1]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(s.doc_ids[a:b], pa.int64()), pa.array(base + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()),
-                            pa.array([data[4 * x : 4 * y] for x, y in zip(at[:-1], at[1:])], pa.binary()),
+                            pa.array([value(view[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())], kind),
                         ],
-                        names=["doc_id", "start", "n_tokens", "ids"],
+                        names=["doc_id", "start", "n_tokens", column],
                     )
 
     sizes = shards.select("part", "seq", "n_tokens")
@@ -397,9 +433,9 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
     # read back, the list of shards has a known size: a short one is broadcast and no shard is shuffled
     bases = store(bases.join(parts, "part").select("part", "seq", (F.col("part_base") + F.col("in_part")).alias("base")), "shard-list")
     placed = shards.select("part", "seq", "shard").join(bases, ["part", "seq"])
-    return placed.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(rows, f"doc_id long, start long, n_tokens long, {column} {'long' if digest else 'binary'}")
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = write_token_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return read_token_shards(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_shards(shards, digest=True)
