@@ -219,7 +219,7 @@ def repair(ids: np.ndarray, vocabulary: int, end_id: int, least: int = 16, per_r
     closing = np.zeros(vocabulary, bool)
     closing[end_id] = True
     # places whose pair may have become frequent: all, then those beside new symbols and those left over
-    open_ = np.flatnonzero(~closing[seq[:-1]])
+    open_ = np.flatnonzero(seq[:-1] != end_id)
     while len(open_) >= least:
         left, right = seq[open_], seq[open_ + 1]
         bits = max(10, min(20, (2 * len(open_)).bit_length()))
@@ -361,7 +361,7 @@ class Shard:
 SHARDS = "part int, seq int, n_docs long, n_tokens long, shard binary"
 
 
-def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, shard_tokens: int = 1 << 20, table_words: int = 700_000) -> DataFrame:
+def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, shard_tokens: int = 1 << 19, table_words: int = 700_000) -> DataFrame:
     """Writes the ids of `docs` (doc_id, text; other columns are ignored) as shard files in ascending
     doc_id order, and returns the written table of shards, ordered by (part, seq).
 
@@ -386,7 +386,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: in
             keys, ids, lengths, held, seq = [], [], [], 0, seq + 1
             return row
 
-        for k, i, n in encoded(batches, encoder_for(path, table_words), end_id, 2 * SUB_BATCH_BYTES):
+        for k, i, n in encoded(batches, encoder_for(path, table_words), end_id, 4 * SUB_BATCH_BYTES):
             keys += k
             ids.append(i)
             lengths.append(n)
