@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, store
+from .common import components, drop_stored, store
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -107,21 +107,29 @@ class MultiIndex:
         return out
 
 
-def search(df: DataFrame, queries: DataFrame, neighbours: int = 10, centroids: int = 16, sample: int = 8000, recall: float = 0.97, block: int = 4096) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, neighbours: int = 10, centroids: int | None = None, sample: int = 8000, recall: float = 0.97, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's nearest rows of df(vec_id, embedding) by Euclidean
     distance in double precision, without rows of its own vec_id, ties to the smaller vec_id.
 
-    The index is fitted on a bounded sample (`sample` rows) and holds every row. Rows of a cell lie
+    The index is fitted on a bounded sample (`sample` rows) and holds every row. Each half has `centroids`
+    centroids, by default the square root of rows / 64, but at least 8 and at most an eighth of the
+    sample's size to the power of 0.75 (104 for 8000 rows), so that cells keep about 64 rows while
+    the table grows. How large a share of the rows a query must visit depends on the data: on vectors without cluster
+    structure it is most of them, whatever the index. Rows of a cell lie
     in blocks of about `block` rows, each block a group of its own, so a cell that holds many rows is
     spread over tasks; a task meets one block with the queries that visit it, in one matrix product.
     Every visited row is reranked on the original vectors.
 
     Vectors that are null, zero or hold null or non-finite components, or of another length than most
-    of the sample, take no part, as queries or as rows; so do null vec_ids. Fewer rows than
-    `neighbours` give them all. An empty table gives an empty result."""
+    of the sample, take no part, as queries or as rows; so do null vec_ids. Of rows that share a vec_id the
+    nearest counts, at one rank. Fewer rows than `neighbours` give them all. Other columns are ignored. An
+    empty table gives an empty result."""
     spark = df.sparkSession
     rows = usable(df.select("vec_id", "embedding")).where("vec_id is not null")
-    index = MultiIndex(bounded_sample(rows, sample)[1], centroids, neighbours, recall)
+    known = bounded_sample(rows, sample)[1]
+    if centroids is None:
+        centroids = int(min(max(8, (rows.count() / 64) ** 0.5), max(8, sample**0.75 / 8)))
+    index = MultiIndex(known, centroids, neighbours, recall)
     dim, width = index.dim, len(index.second)
     rows = rows.where(F.size("embedding") == dim)
 
@@ -157,14 +165,19 @@ def search(df: DataFrame, queries: DataFrame, neighbours: int = 10, centroids: i
         q, v = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
         if len(q) and len(v):
             a, b = matrix(left.column("embedding").combine_chunks()), matrix(right.column("embedding").combine_chunks())
+            most = min(neighbours * int(np.unique(v, return_counts=True)[1].max()), len(v)) - 1  # a vec_id may have several rows
             for s in range(0, len(q), 32):
                 near = distances(a[s : s + 32], b)
                 near[q[s : s + 32, None] == v] = np.inf
                 # the exact measure decides; the expanded form may err in the last digits only
-                edge = np.partition(near, min(neighbours, len(v)) - 1, axis=1)[:, min(neighbours, len(v)) - 1]
+                edge = np.partition(near, most, axis=1)[:, most]
                 m, n = np.nonzero(near <= (edge * (1 + 1e-9) + 1e-9)[:, None])
                 m, n = m[np.isfinite(near[m, n])], n[np.isfinite(near[m, n])]
                 exact = np.sqrt(((a[s + m] - b[n]) ** 2).sum(1))
+                order = np.lexsort((exact, v[n], m))
+                m, n, exact = m[order], n[order], exact[order]
+                once = np.concatenate(([True], (m[1:] != m[:-1]) | (v[n[1:]] != v[n[:-1]])))[: len(m)]
+                m, n, exact = m[once], n[once], exact[once]
                 order = np.lexsort((v[n], exact, m))
                 m, n, exact = m[order], n[order], exact[order]
                 top = np.arange(len(m)) - np.searchsorted(m, m) < neighbours
@@ -174,7 +187,7 @@ def search(df: DataFrame, queries: DataFrame, neighbours: int = 10, centroids: i
 
     near = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+    return near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,89 +198,108 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Near duplicates ----------------------------------------------------------------------------------
 
 
-def _prune(near: np.ndarray, names: np.ndarray, left: np.ndarray, alpha: float) -> list[np.ndarray]:
-    """For each of some points, (row, point) pairs of candidates that stay: the nearest is kept again and
-    again, and those go that it is more than alpha times closer to than the point is. Candidate c of
-    row i is the point names[i, c] at squared distance left[i, c], inf for none; left is used up."""
-    kept, at = [], np.arange(len(left))
-    while len(at):
-        j = left[at].argmin(axis=1)
-        live = np.isfinite(left[at, j])
-        at, j = at[live], j[live]
-        z, mine = names[at, j], left[at]
-        kept.append(np.stack([at, z]))
-        mine[(alpha * alpha) * near[z[:, None], names[at]] < mine] = np.inf
-        mine[np.arange(len(at)), j] = np.inf
-        left[at] = mine
-    return kept
-
-
-def robust_prune(near: np.ndarray, radius: float, alpha: float = 1.0, block: int = 64, pool: int = 96) -> np.ndarray:
-    """Out-neighbours of each point, from the squared distances of all to all, as a matrix filled up
-    with the point itself. Candidates are the `pool` nearest and all within `radius`; going by
-    distance, one stays unless a kept one is more than alpha times closer to it than the point is.
-    The degree has no bound, so from any point p each point y within radius of it can be reached by
-    neighbours that come closer to y at every step."""
-    n = len(near)
-    edges, every = [], np.arange(n)
+def robust_prune(x: np.ndarray, radius: float, alpha: float = 1.1, block: int = 256, pool: int = 24, far: int = 16) -> np.ndarray:
+    """Out-neighbours of each row of x as (from, to) pairs. Candidates are the `pool` nearest rows, all
+    within `radius` and `far` rows from anywhere, which join clusters that lie apart; going by distance, one stays unless a kept one is more than alpha times closer to it
+    than the row is. The degree has no bound, so from any row p each row y within radius of it can
+    be reached by neighbours that come closer to y at every step. Distances are computed for `block` rows
+    and their candidates at a time."""
+    n = len(x)
+    edges, flat = [np.zeros((0, 2), np.int64)], x.astype(np.float32)
+    norm, rng = (flat * flat).sum(1), np.random.default_rng(n)
     for a in range(0, n, block):
         rows = np.arange(a, min(a + block, n))
-        left = near[rows]
+        left = norm[rows, None] + norm - 2 * (flat[rows] @ flat.T)
+        np.maximum(left, 0, out=left)
         left[np.arange(len(rows)), rows] = np.inf
-        if n <= 2 * pool:
-            edges += [e + [[a], [0]] for e in _prune(near, np.broadcast_to(every, left.shape), left, alpha)]
+        width = min(n - 1, max(pool, int((left <= radius * radius * (1 + 1e-5) + 1e-6).sum(axis=1).max())))  # all within the radius too
+        if width < 1:
             continue
-        names = np.argpartition(left, pool, axis=1)[:, :pool]
-        some = np.take_along_axis(left, names, 1)
-        crowd = some.max(axis=1) <= radius * radius  # more than the pool may lie within the radius
-        edges += [np.stack([rows[~crowd][e[0]], e[1]]) for e in _prune(near, names[~crowd], some[~crowd], alpha)]
-        if crowd.any():
-            whole = left[crowd]
-            width = max(pool, int((whole <= radius * radius).sum(axis=1).max()))
-            names = np.argpartition(whole, width - 1, axis=1)[:, :width]
-            edges += [np.stack([rows[crowd][e[0]], e[1]]) for e in _prune(near, names, np.take_along_axis(whole, names, 1), alpha)]
-    degree = np.zeros(n, np.int64)
-    for r, _ in edges:
-        degree[r] += 1
-    out = np.repeat(every[:, None], max(1, int(degree.max(initial=1))), axis=1)
-    degree[:] = 0
-    for r, z in edges:
-        out[r, degree[r]] = z
-        degree[r] += 1
+        names = np.argpartition(left, width - 1, axis=1)[:, :width]
+        names = np.concatenate([names, np.broadcast_to(rng.integers(0, n, far), (len(rows), far))], 1)
+        left = np.take_along_axis(left, names, 1)
+        few = max(1, (1 << 22) // width**2)
+        for c in range(0, len(rows), few):  # distances among the candidates of some rows
+            mine, some = left[c : c + few], flat[names[c : c + few]]
+            size = norm[names[c : c + few]]
+            apart = some @ some.transpose(0, 2, 1)
+            apart *= -2
+            apart += size[:, :, None]
+            apart += size[:, None, :]
+            apart *= alpha * alpha
+            every = np.arange(len(mine))
+            while len(every):  # of each row the nearest candidate that is left
+                j = mine[every].argmin(axis=1)
+                live = np.isfinite(mine[every, j])
+                every, j = every[live], j[live]
+                edges.append(np.stack([rows[c + every], names[c + every, j]], 1))
+                rest = mine[every]
+                rest[apart[every, j] < rest] = np.inf
+                rest[np.arange(len(every)), j] = np.inf
+                mine[every] = rest
+    return np.concatenate(edges)
+
+
+def as_matrix(edges: np.ndarray, n: int) -> np.ndarray:
+    """Out-neighbours of n rows as a matrix that is filled up with the row itself."""
+    edges = np.unique(edges, axis=0)
+    degree = np.bincount(edges[:, 0], minlength=n)
+    out = np.repeat(np.arange(n)[:, None], max(1, int(degree.max(initial=1))), axis=1)
+    out[edges[:, 0], np.arange(len(edges)) - np.repeat(np.cumsum(degree) - degree, degree)] = edges[:, 1]
     return out
 
 
+def walk(q: np.ndarray, x: np.ndarray, graph: np.ndarray, start: int, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(row, squared distance) nearest to each q that a greedy search from `start` meets: it looks at the
+    neighbours of its `beam` nearest rows until these stay the same."""
+    flat, asked = x.astype(np.float32), q.astype(np.float32)
+    half = (flat * flat).sum(1) / 2
+    every = np.arange(len(q))
+    at = np.full((len(q), beam), -1)
+    far = np.full((len(q), beam), np.inf, np.float32)  # half the squared distance, less what is the same for all rows
+    at[:, 0], far[:, 0] = start, half[start] - asked @ flat[start]
+    done = np.zeros((len(q), beam), bool)
+    while len(every):
+        names, dist, seen = at[every], far[every], done[every]
+        open_ = np.where(seen, np.inf, dist)
+        k = open_.argmin(1)
+        go = np.isfinite(open_[np.arange(len(every)), k])
+        every, names, dist, seen, k = every[go], names[go], dist[go], seen[go], k[go]
+        if not len(every):
+            break
+        seen[np.arange(len(every)), k] = True
+        ahead = graph[names[np.arange(len(every)), k]]
+        d = half[ahead] - (flat[ahead] @ asked[every][:, :, None])[..., 0]
+        for j in range(beam):
+            d[ahead == names[:, j, None]] = np.inf
+        d[:, 1:][ahead[:, 1:] == ahead[:, :-1]] = np.inf  # a row fills its list up with itself
+        names, dist, seen = np.concatenate([names, ahead], 1), np.concatenate([dist, d], 1), np.concatenate([seen, np.zeros(ahead.shape, bool)], 1)
+        best = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
+        row = np.arange(len(every))[:, None]
+        at[every], far[every], done[every] = names[row, best], dist[row, best], seen[row, best]
+    best = at[np.arange(len(q)), far.argmin(1)] if len(q) else np.zeros(0, np.int64)
+    return best, ((q - x[best]) ** 2).sum(1)
+
+
 def range_search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, radius: float, own: np.ndarray, block: int = 128):
     """(query, row, squared distance) of all rows of x within radius of each q, all of unit length;
     own[i] is the row that is q[i] itself, or -1.
 
-    A greedy walk from the medoid comes to a row near q. Where it has not arrived at the nearest row,
-    the search goes on from q's own row, or from its nearest one if q is no row: at distance e, it
-    expands over rows within e + 2 * radius. With e up to radius, on a graph of robust_prune() for
-    twice the radius, that misses nothing: each row y within radius of q is reached by rows that come
-    ever closer to y, and so stay within e + 2 * radius of q. With a larger e there is no such y."""
+    A greedy search from the medoid comes to a row near q. It has arrived if no row can be nearer: at a
+    row equal to q. For the queries that have not, the start is their own row, or their nearest one by a
+    scan if they are no row. From the start, at distance e, the search expands over rows within
+    e + 2 * radius. With e up to radius, on a graph of robust_prune() for twice the radius, that misses
+    nothing: each row y within radius of q is reached by rows that come ever closer to y, and so
+    stay within e + 2 * radius of q. With a larger e there is no such y."""
     medoid = int(((x - x.mean(0)) ** 2).sum(1).argmin())
     width = graph.shape[1]
     for a in range(0, len(q), block):
-        part = q[a : a + block]
-        at = np.full(len(part), medoid)
-        best = ((part - x[at]) ** 2).sum(1)
-        active = np.arange(len(part))
-        while len(active):  # in steps of bounded memory
-            moved = []
-            for b in range(0, len(active), max(1, 8192 // width)):
-                who = active[b : b + max(1, 8192 // width)]
-                near = ((x[graph[at[who]]] - part[who][:, None]) ** 2).sum(2)
-                k = near.argmin(1)
-                d = near[np.arange(len(who)), k]
-                better = d < best[who]
-                at[who[better]], best[who[better]] = graph[at[who[better]], k[better]], d[better]
-                moved.append(who[better])
-            active = np.concatenate(moved)
-        rows = own[a : a + block]
-        if (stray := np.flatnonzero((rows < 0) & (best > 1e-12))).size:
+        part, rows = q[a : a + block], own[a : a + block]
+        at, best = walk(part, x, graph, medoid)
+        lost = best > 1e-12
+        at = np.where(lost & (rows >= 0), rows, at)
+        if (stray := np.flatnonzero(lost & (rows < 0))).size:
             at[stray] = distances(part[stray], x).argmin(1)
-        at = np.where(rows >= 0, rows, at)
         best = ((part - x[at]) ** 2).sum(1)
         limit = (np.sqrt(best) + 2 * radius) ** 2 * (1 + 1e-9) + 1e-12
         seen = np.zeros((len(part), len(x)), bool)
@@ -281,15 +313,16 @@ def range_search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, radius: float,
                 d = ((part[w] - x[v]) ** 2).sum(1)
                 inside = d <= radius * radius * (1 + 1e-9) + 1e-12
                 hits.append((w[inside] + a, v[inside], d[inside]))
-                go = d <= limit[w]
-                reach = np.zeros_like(seen)
-                for c in range(0, int(go.sum()), max(1, (1 << 20) // width)):
-                    u, y = w[go][c : c + max(1, (1 << 20) // width)], v[go][c : c + max(1, (1 << 20) // width)]
-                    reach[np.repeat(u, width), graph[y].ravel()] = True
-                reach &= ~seen
-                seen |= reach
-                ahead.append(np.nonzero(reach))
-            who, node = (np.concatenate(z) for z in zip(*ahead))
+                go = np.flatnonzero(d <= limit[w])
+                step = max(1, (1 << 20) // width)
+                for c in range(0, len(go), step):
+                    u, y = np.repeat(w[go[c : c + step]], width), graph[v[go[c : c + step]]].ravel()
+                    fresh = np.flatnonzero(~seen[u, y])
+                    u, y = u[fresh], y[fresh]
+                    seen[u, y] = True
+                    code = np.unique(u * len(x) + y)
+                    ahead.append((code // len(x), code % len(x)))
+            who, node = (np.concatenate(z) for z in zip(*ahead)) if ahead else (np.zeros(0, np.int64),) * 2
         yield tuple(np.concatenate(z) for z in zip(*hits))
 
 
@@ -309,30 +342,56 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True)) if len(x) else x
 
 
-def _flat_graph_links(classes: DataFrame, centroids: np.ndarray, threshold: float, slack: float, shard_rows: int) -> DataFrame:
-    """Rows (id, links, null) with the links that a class has in one shard, and (id, null, root)."""
+def _own_places(ids: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Where each of `ids` is in `of`, or -1."""
+    if not len(of):
+        return np.full(len(ids), -1)
+    order = np.argsort(of, kind="stable")
+    place = order[np.minimum(np.searchsorted(of[order], ids), len(of) - 1)]
+    return np.where(of[place] == ids, place, -1)
+
+
+def _flat_graph_links(classes: DataFrame, centroids: np.ndarray, threshold: float, share: float, part_rows: int) -> DataFrame:
+    """Rows (id, links, null) with the links that a class has in its home shard, and (id, null, root).
+
+    share is how much of the link radius the overlap of shards covers in the direction between two centroids."""
     radius = float(np.sqrt(max(2 - 2 * threshold, 0)))
-    apart = np.sqrt(((centroids[:, None] - centroids[None]) ** 2).sum(2)) if len(centroids) else np.zeros((1, 1))
+    apart = np.sqrt(((centroids[:, None] - centroids[None]) ** 2).sum(2))
 
     def assign(batches):
         for b in batches:
             x = _unit(matrix(b.column("embedding")))
             if not len(x):
                 continue
-            near = x @ centroids.T if len(centroids) else np.zeros((len(x), 1))
+            near = x @ centroids.T
             home = near.argmax(1)
             below = near.max(1, keepdims=True) - near
-            row, shard = np.nonzero((below <= radius * apart[home] + 1e-9) | (below <= slack))
+            inside = below <= share * radius * apart[home] + 1e-9
+            if len(centroids) > 1:  # and the second nearest, so that every two shards that meet share rows
+                inside[np.arange(len(x)), np.argpartition(-near, 1, axis=1)[:, 1]] = True
+            row, shard = np.nonzero(inside)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column("label").take(at), pa.array(shard, pa.int64()), pa.array(home[row] == shard), b.column("id").take(at), b.column("rows").take(at), b.column("embedding").take(at)], names=["label", "shard", "home", "id", "rows", "embedding"])
 
     members = store(classes.mapInArrow(assign, "label int, shard long, home boolean, id long, rows long, embedding array<double>"), "shards")
-    size = members.groupBy("label", "shard").agg(F.ceil(F.count("*") / shard_rows).alias("parts"))
-    members = members.join(size, ["label", "shard"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    size = members.groupBy("label", "shard").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
+    members = store(members.join(size, ["label", "shard"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))), "shard-parts")
+
+    def build(key, table):
+        ids = table.column("id").to_numpy()
+        edges = robust_prune(_unit(matrix(table.column("embedding").combine_chunks())), 2 * radius)
+        edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
+        degree = np.bincount(edges[:, 0], minlength=len(ids))
+        near = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(degree))).astype(np.int32)), pa.array(ids[edges[:, 1]], pa.int64()))
+        return pa.table({"label": table.column("label"), "id": table.column("id"), "near": near})
+
+    lists = members.select("label", "shard", "part", "id", "embedding").groupBy("label", "shard", "part").applyInArrow(build, "label int, id long, near array<long>")
+    # the flat graph: the union of a class's lists over its shards
+    graph = store(lists.groupBy("label", "id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "flat-graph")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    held = members.select("label", "shard", F.col("own").alias("part"), every.alias("asking"), "id", "rows", "embedding")
-    held = held.toDF(*held.columns)  # fresh attributes: both sides come from one table
-    asked = members.where("home").select("label", "shard", every.alias("part"), F.col("own").alias("asking"), "id", "rows", "embedding")
+    held = members.join(graph, ["label", "id"]).select("label", "shard", "part", every.alias("asking"), "id", "rows", "embedding", "near")
+    asked = members.where("home").select("label", "shard", every.alias("part"), F.col("part").alias("asking"), "id", "embedding")
+    asked = asked.toDF(*asked.columns)  # fresh attributes: both sides come from one table
 
     def meet(key, left, right):
         ids = [t.column("id").to_numpy() for t in (left, right)]
@@ -341,14 +400,12 @@ def _flat_graph_links(classes: DataFrame, centroids: np.ndarray, threshold: floa
             return found
         q, x = (_unit(matrix(t.column("embedding").combine_chunks())) for t in (left, right))
         rows = right.column("rows").to_numpy()
-        flat = x.astype(np.float32)
-        near = flat @ flat.T
-        near *= -2
-        near += 2
-        graph = robust_prune(np.maximum(near, 0, out=near), 2 * radius)
-        order = np.argsort(ids[1], kind="stable")
-        place = order[np.minimum(np.searchsorted(ids[1][order], ids[0]), len(order) - 1)]
-        own = np.where((ids[1][place] == ids[0]) & (q == x[place]).all(axis=1), place, -1)
+        lists = right.column("near").combine_chunks()
+        to = _own_places(lists.flatten().to_numpy(zero_copy_only=False), ids[1])  # of the flat graph, the edges inside this shard
+        edges = np.stack([np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy())), to], 1)
+        graph = as_matrix(edges[to >= 0], len(x))
+        own = _own_places(ids[0], ids[1])
+        own = np.where((own >= 0) & (q == x[own]).all(axis=1), own, -1)
         links, a, b = np.zeros(len(q), np.int64), [], []
         for who, node, _ in range_search(q, x, graph, radius, own):
             true = (ids[0][who] != ids[1][node]) & ((q[who] * x[node]).sum(1) >= threshold)
@@ -369,28 +426,42 @@ def _flat_graph_links(classes: DataFrame, centroids: np.ndarray, threshold: floa
         })
 
     keys = ("label", "shard", "part", "asking")
-    return store(asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "id long, links long, root long"), "vector-links")
+    out = store(asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "id long, links long, root long"), "vector-links")
+    for used in (members, graph):
+        drop_stored(used)
+    return out
 
 
-def near_vectors(df: DataFrame, threshold: float = 0.98, cluster_rows: int = 8000, shard_rows: int = 8000, slack: float = 0.0, sample: int = 8000, audit: int = 200) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of df(vec_id, embedding, label).
+def effective_dimension(x: np.ndarray) -> float:
+    """The participation ratio of the variances of x along its principal axes."""
+    v = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2 if len(x) else np.zeros(1)
+    return float(v.sum() ** 2 / max((v * v).sum(), 1e-300)) if v.sum() else 1.0
 
-    Rows link when their labels are equal and not null and their cosine, in double precision, is at
-    least `threshold`. Equal vectors of a label are one class that is never expanded into pairs. A
-    class x lies in the shard of its nearest centroid c and of each c' where its similarity is lower by
-    no more than the link radius times |c - c'|, or by no more than `slack`. A class y that is nearest to
-    c' and links with x has y.c' >= y.c, so x.c - x.c' <= (x - y).(c - c') <= radius * |c - c'|: y meets x
-    in y's own shard, and no count or link is lost whatever `slack` is. Each shard becomes a robust-pruned graph, searched from its medoid. A shard of more than
-    shard_rows classes is searched in parts, each part against each, so a crowd of unequal near
-    copies is spread over tasks. What goes between tasks are counts and one root a class.
 
-    The audit is only a check: it compares the links of a bounded sample of classes with a full scan
-    and raises RuntimeError if any is missing.
+def near_vectors(df: DataFrame, threshold: float = 0.98, shard_rows: int = 1000, part_rows: int = 4000, spread: float = 3.0, sample: int = 8000, audit: int = 200) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, audit_recall) for each row of df(vec_id, embedding, label).
+
+    Rows link when their labels are equal and not null and their cosine, in double precision, is at
+    least `threshold`. Equal vectors of a label are one class that is never expanded into pairs. Every label
+    has at least four shards, and as many as give about shard_rows classes each by the largest label, one
+    for each centroid of a bounded sample (so at most sample / 8). A class lies in the shards of its two
+    nearest centroids, and in each further one of a centroid c' that its similarity is lower to, than to its
+    nearest c, by no more than `spread` standard deviations of (x - y).(c - c') for a link x-y of
+    any direction: radius * |c - c'| / sqrt(effective dimension), and never more than radius * |c - c'|, beyond
+    which no link reaches. Each shard becomes a robust-pruned graph; the lists that a class has in its
+    shards are united by id into one flat graph, which is searched from medoids, for each class in
+    its home shard, with a range expansion that loses nothing within the shard. A shard of more than
+    part_rows classes is split into parts that are searched each against each, so a crowd of unequal near
+    copies is spread over tasks. What goes between tasks are lists, counts and one root a class.
+
+    An audit compares the links of `audit` classes with a full scan. audit_recall is the share that was
+    found. If it is below 1, all is done again with overlaps of the full radius * |c - c'|, which lose no
+    link in any data.
 
     Vectors that are null, zero or hold null or non-finite components, null labels and null vec_ids
     link with nothing: n_links 0, component_id their vec_id. Vectors of another length than most of
-    the sample do too. Rows that share a vec_id are one node. An empty table gives an empty result."""
-    spark = df.sparkSession
+    the sample do too. Rows that share a vec_id are one node. Other columns are ignored. An empty table
+    gives an empty result."""
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), "embedding").withColumn("_row", F.monotonically_increasing_id())
     rows = store(rows, "vectors")
     good = usable(rows).where("label is not null and vec_id is not null")
@@ -399,8 +470,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, cluster_rows: int = 800
     good = good.where(F.size("embedding") == dim)
     classes = store(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("rows")), "vector-classes")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    k = min(-(-most // cluster_rows), max(1, len(known) // 8))
-    centroids = _unit(kmeans(_unit(known), k)) if k > 1 else np.zeros((0, dim))
+    k = max(1, min(max(4, -(-most // shard_rows)), len(known) // 8))
+    centroids = _unit(kmeans(_unit(known), k)) if k > 1 else np.ones((1, dim))
     picked = classes.orderBy(F.xxhash64("id"), "id").limit(audit).collect()
     own, own_label, own_id = np.array([r["embedding"] for r in picked]).reshape(len(picked), dim), np.array([r["label"] for r in picked]), np.array([r["id"] for r in picked], np.int64)
 
@@ -408,24 +479,33 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, cluster_rows: int = 800
         total, asked = np.zeros(len(own_id), np.int64), _unit(own)
         for b in batches:
             x = _unit(matrix(b.column("embedding")))
-            if len(x):
-                hit = (asked @ x.T >= threshold + 1e-9) & (own_label[:, None] == b.column("label").to_numpy()) & (own_id[:, None] != b.column("id").to_numpy())
-                total += hit @ b.column("rows").to_numpy()
+            for a in range(0, len(x), 1000):
+                near = (asked @ x[a : a + 1000].T >= threshold - 1e-9) & (own_label[:, None] == b.column("label").to_numpy()[a : a + 1000]) & (own_id[:, None] != b.column("id").to_numpy()[a : a + 1000])
+                m, n = np.nonzero(near)
+                true = (asked[m] * x[a + n]).sum(1) >= threshold
+                np.add.at(total, m[true], b.column("rows").to_numpy()[a + n[true]])
         yield pa.RecordBatch.from_arrays([pa.array(own_id), pa.array(total)], names=["id", "expected"])
 
-    found = _flat_graph_links(classes, centroids, threshold, slack, shard_rows)
-    counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
-    if len(centroids):
-        true = classes.mapInArrow(scan, "id long, expected long").groupBy("id").agg(F.sum("expected").alias("expected"))
-        if true.join(counts, "id", "left").where("expected > coalesce(links, 0)").limit(1).count():
-            raise RuntimeError("links of the audited vectors are missing")
+    share = min(1.0, spread / max(effective_dimension(_unit(known)), 1.0) ** 0.5) if len(known) else 1.0
+    recall = 1.0
+    while True:
+        found = _flat_graph_links(classes, centroids, threshold, share, part_rows)
+        counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
+        if len(own_id):
+            true = classes.mapInArrow(scan, "id long, expected long").groupBy("id").agg(F.sum("expected").alias("expected"))
+            r = true.join(counts, "id", "left").agg(F.sum("expected"), F.sum(F.least(F.col("expected"), F.coalesce("links", F.lit(0))))).first()
+            recall = r[1] / r[0] if r[0] else 1.0
+        if recall >= 1 or share >= 1:
+            break
+        share = 1.0
+        drop_stored(found)
     of = components(found.where("root is not null"), "id", "root")
     copies = classes.where("rows > 1").select("label", "embedding", F.col("id").alias("_id"), "rows")
     named = good.join(copies, ["label", "embedding"], "left").select("_row", "vec_id", F.coalesce("_id", "vec_id").alias("id"), (F.coalesce("rows", F.lit(1)) - 1).alias("same"))
     named = named.join(counts, "id", "left").join(of, "id", "left").select("_row", "vec_id", (F.col("same") + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     rest = rows.join(good.select("_row"), "_row", "left_anti").select("_row", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = named.union(rest)
-    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(float(recall)).alias("audit_recall"))
 
 
 def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,6 +523,6 @@ l AS (
 ), r AS (
   SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT l.w, r.c FROM r JOIN l ON l.u = r.n
 ), m AS (SELECT n, min(c) AS c FROM r GROUP BY 1)
-SELECT e.vec_id, CAST((SELECT count(*) FROM l WHERE l.u = e.vec_id) AS BIGINT) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+SELECT e.vec_id, CAST((SELECT count(*) FROM l WHERE l.u = e.vec_id) AS BIGINT) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept, 1e0 AS audit_recall
 FROM embeddings e JOIN m ON m.n = e.vec_id
 """

@@ -2,6 +2,7 @@
 rows, empty tables and extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -384,10 +385,12 @@ def test_search(spark):
     assert vectors.search(df.where("false"), df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("more", [{}, {"cluster_rows": 60, "shard_rows": 50}, {"cluster_rows": 60, "slack": 0.0}])
+@pytest.mark.parametrize("more", [{}, {"shard_rows": 40, "part_rows": 30}, {"shard_rows": 20, "spread": 0.0}])
 def test_near_vectors(spark, more):
     x, rows, df = _vectors(spark)
+    df = df.selectExpr("*", "1 as id", "'x' as rows", "2 as shard", "5 as _row", "3 as n_links")
     out = vectors.near_vectors(df, **more).collect()
+    assert {r["audit_recall"] for r in out} == {1.0}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     label = np.array([r[2] for r in rows])
     close = (u @ u.T >= 0.98) & (label[:, None] == label)
@@ -412,10 +415,53 @@ def test_near_vectors_across_shards(spark):
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
     x = np.array([v for _, v in rows])
     close = (x @ x.T >= 0.98) & ~np.eye(len(x), dtype=bool)
-    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, cluster_rows=50, audit=0).collect()}
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, shard_rows=30, audit=0).collect()}
     assert [got[i] for i, _ in rows] == close.sum(1).tolist() and close[80, 81] and close[82, 83]
 
 
+def test_flat_graph():
+    """Pruned graphs against all distances: nothing within the radius is lost, and searches arrive from the
+    medoid among clustered vectors."""
+    rng = np.random.default_rng(2)
+    for crowd in (0.02, 0.3):
+        x = vectors._unit(np.repeat(rng.normal(size=(20, 16)), 15, 0) + rng.normal(size=(300, 16)) * crowd)
+        graph = vectors.as_matrix(vectors.robust_prune(x, 0.4), len(x))
+        got = {(int(a), int(b)) for part in vectors.range_search(x, x, graph, 0.2, np.arange(len(x)), 37) for a, b in zip(part[0], part[1])}
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(d <= 0.2))}
+        at, far = vectors.walk(x, x, graph, int(((x - x.mean(0)) ** 2).sum(1).argmin()))
+        assert np.allclose(((x - x[at]) ** 2).sum(1), far) and (far < 1e-12).mean() > 0.5
+    assert len(vectors.robust_prune(np.ones((1, 3)), 0.4)) == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_recall(spark):
+    """The whole query on a whole test table against a full scan."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding is not null").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    ids, x = ids[np.abs(x).sum(1) > 0], x[np.abs(x).sum(1) > 0]
+    got = {}
+    for r in vectors.op5_multi_index(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    hits = []
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        best = np.lexsort((ids, d))[:10]
+        assert len(got[q]) == 10 and all(s == pytest.approx(d[ids == v][0]) for v, s in got[q].items())
+        hits.append(np.isin(ids[best], list(got[q])).mean())
+    assert np.mean(hits) >= 0.9
+
+
+def test_repeated_vectors(spark):
+    """Rows that share a vec_id are one node, and take one rank of a query at most."""
+    rows = [(i % 40, [float(i % 40), 1.0, float(i % 7)], 1) for i in range(80)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, query_id string")
+    assert vectors.near_vectors(df).count() == 80
+    out = vectors.search(df, df.where("vec_id < 3")).collect()
+    assert {r["query_id"] for r in out} == {0, 1, 2} and all(len({r["vec_id"] for r in out if r["query_id"] == q}) == 10 == sum(r["query_id"] == q for r in out) for q in range(3))
+
+
 # Personal data ------------------------------------------------------------------------------------
 
 PLAIN = {
