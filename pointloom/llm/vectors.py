@@ -115,9 +115,9 @@ def search(df: DataFrame, queries: DataFrame, neighbours: int = 10, centroids: i
     centroids, by default the square root of rows / 64, but at least 8 and at most an eighth of the
     sample's size to the power of 0.75 (104 for 8000 rows), so that cells keep about 64 rows while
     the table grows. How large a share of the rows a query must visit depends on the data: on vectors without cluster
-    structure it is most of them, whatever the index. Rows of a cell lie
-    in blocks of about `block` rows, each block a group of its own, so a cell that holds many rows is
-    spread over tasks; a task meets one block with the queries that visit it, in one matrix product.
+    structure it is most of them, whatever the index. Cells
+    lie in pages of about `block` rows, and a larger cell in parts of that size, so a cell that holds many
+    rows is spread over tasks; a task meets one page with the queries that visit a cell of it, in one matrix product.
     Every visited row is reranked on the original vectors.
 
     Vectors that are null, zero or hold null or non-finite components, or of another length than most
@@ -145,20 +145,34 @@ def search(df: DataFrame, queries: DataFrame, neighbours: int = 10, centroids: i
     for c, n in sizes.items():
         counts[c] = n
     total = int(counts.sum())
-    blocks = np.maximum(1, -(-counts // block))
+    # a page is a run of cells with about `block` rows together, or one larger cell, which has parts
+    parts_of = np.maximum(1, -(-counts // block))
+    page = np.zeros(len(counts), np.int64)
+    filled, at = 0, -1
+    for c in np.flatnonzero(counts):
+        if at < 0 or filled + counts[c] > block:
+            at, filled = at + 1, 0
+        page[c] = at
+        filled += counts[c]
 
     def visit(batches):
         for b in batches:
-            x = matrix(b.column("embedding"))
+            x, ids, vectors = matrix(b.column("embedding")), b.column("vec_id"), b.column("embedding")
             for a in range(len(x)):
-                out = index.traverse(x[a], counts, index.probe, total)
-                at = np.array([[c, k] for c in out for k in range(blocks[c])], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id").slice(a, 1).take(pa.array(np.zeros(len(at), np.int64))), b.column("embedding").slice(a, 1).take(pa.array(np.zeros(len(at), np.int64))), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["vec_id", "embedding", "cell", "part"])
+                seen: dict[int, list[int]] = {}
+                for c in index.traverse(x[a], counts, index.probe, total):
+                    seen.setdefault(int(page[c]), []).append(c)
+                rows = [(p, k, cells) for p, cells in seen.items() for k in range(int(parts_of[cells].max()))]
+                same = pa.array(np.full(len(rows), a))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(same), vectors.take(same), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
+                    names=["vec_id", "embedding", "page", "part", "cells"],
+                )
 
     asked = usable(queries.select("vec_id", "embedding")).where((F.size("embedding") == dim) & F.col("vec_id").isNotNull()).distinct()
-    asked = asked.mapInArrow(visit, "vec_id long, embedding array<double>, cell long, part long")
-    per_cell = spark.createDataFrame([(int(c), int(blocks[c])) for c in sizes] or [(0, 1)], "cell long, parts long")
-    held = cells.join(F.broadcast(per_cell), "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"), "vec_id", "embedding")
+    asked = asked.mapInArrow(visit, "vec_id long, embedding array<double>, page long, part long, cells array<long>")
+    per_cell = spark.createDataFrame([(int(c), int(page[c]), int(parts_of[c])) for c in sizes] or [(0, 0, 1)], "cell long, page long, parts long")
+    held = cells.join(F.broadcast(per_cell), "cell").select("page", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"), "cell", "vec_id", "embedding")
 
     def meet(key, left, right):
         out = []
@@ -166,8 +180,13 @@ def search(df: DataFrame, queries: DataFrame, neighbours: int = 10, centroids: i
         if len(q) and len(v):
             a, b = matrix(left.column("embedding").combine_chunks()), matrix(right.column("embedding").combine_chunks())
             most = min(neighbours * int(np.unique(v, return_counts=True)[1].max()), len(v)) - 1  # a vec_id may have several rows
+            kinds, kind = np.unique(right.column("cell").to_numpy(), return_inverse=True)
+            lists = left.column("cells").combine_chunks()
+            visited = np.zeros((len(q), len(kinds)), bool)
+            visited[np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy())), np.minimum(np.searchsorted(kinds, lists.flatten().to_numpy()), len(kinds) - 1)] = True
             for s in range(0, len(q), 32):
                 near = distances(a[s : s + 32], b)
+                near[~visited[s : s + 32][:, kind]] = np.inf
                 near[q[s : s + 32, None] == v] = np.inf
                 # the exact measure decides; the expanded form may err in the last digits only
                 edge = np.partition(near, most, axis=1)[:, most]
@@ -185,7 +204,7 @@ def search(df: DataFrame, queries: DataFrame, neighbours: int = 10, centroids: i
         x, y, z = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": pa.array(x, pa.int64()), "vec_id": pa.array(y, pa.int64()), "score": pa.array(z, pa.float64())})
 
-    near = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    near = asked.groupBy("page", "part").cogroup(held.groupBy("page", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 
