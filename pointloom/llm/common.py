@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +34,29 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release() -> None:
+    """Gives memory that Arrow and malloc keep for later back to the system: a Python worker goes on from
+    task to task and would hold the peak of each kind of task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU C library
+        pass
+
+
+def released(task):
+    """A task for mapInArrow that ends with release()."""
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Words of an Arrow string array: runs of anything but \\x20 and \\x09-\\x0D. For each word in order
     its place in a list of words, that list (distinct before A-Z are lower-cased), and how many words each text has."""

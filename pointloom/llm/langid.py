@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import released
+
 WINDOW = 128  # bytes that the network reads at once; every byte of a text lies in one window
 UNKNOWN = "und"
 
@@ -213,7 +215,7 @@ def identify(docs: DataFrame, model: BiGRU) -> DataFrame:
                 lang, score = predict(m, texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(label, schema).select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(released(label), schema).select("row.*", "lang_pred", "score")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, maybe_in, split_words, store
+from .common import components, drop_stored, maybe_in, released, split_words, store
 from .tokens import slices
 
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, sig binary")
+    return rows.mapInArrow(released(sign), "doc_id long, n long, h1 long, h2 long, sig binary")
 
 
 def tree_rows(rows: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -229,7 +229,7 @@ def forest_candidates(rows: DataFrame, trees: int, depth: int, least_depth: int,
         if held is not None or waiting:
             yield from close(True)
 
-    return order.mapInArrow(neighbours, "a long, b long, run long, loss double")
+    return order.mapInArrow(released(neighbours), "a long, b long, run long, loss double")
 
 
 def crowded(found: DataFrame, trees: int, least_depth: int, percent: int, miss: float) -> DataFrame:
@@ -273,7 +273,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(released(check), "a long, b long")
 
 
 def with_components(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def prefixes(texts: DataFrame, k: int, counts: np.ndarray, percent: int) -> Data
                 n, rare, odd = zip(*got)
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(n, pa.int64()), pa.array(rare, pa.binary()), pa.array(odd, pa.binary())], names=["id", "n", "rare", "odd"])
 
-    return texts.mapInArrow(make, "id long, n long, rare binary, odd binary").where("n > 0").distinct()
+    return texts.mapInArrow(released(make), "id long, n long, rare binary, odd binary").where("n > 0").distinct()
 
 
 def prefix_pairs(rows: DataFrame, of: DataFrame, percent: int) -> DataFrame:

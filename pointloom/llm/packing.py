@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import released, store
 from .tokens import default_tokenizer, encoded, encoder_for
 
 
@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def plan_packing(counts: dict[int, int], capacity: Capacity = Capacity(), rule: str = "dot") -> list[tuple[int, int, int, int, int, int]]:

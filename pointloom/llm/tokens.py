@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import split_words, store
+from .common import released, split_words, store
 
 SUB_BATCH_BYTES = 2 << 20
 MARKS = b".,;:!?"
@@ -49,7 +49,7 @@ class WordEncoder:
 
     PROBES = ("Ab cD, ef. GH!", " a  b\tc\nD\x0be\x0c", "don't x!y we'll A.B?", "İstanbul Straße naïve ΑΣ ΑΣ.", "x\x85y\xa0z 12 3,4 <b>", "é東京 😀 \x1ca")
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -179,7 +179,7 @@ class WordEncoder:
 
 
 @functools.cache
-def encoder_for(path: str, limit: int = 800_000) -> WordEncoder:
+def encoder_for(path: str, limit: int = 400_000) -> WordEncoder:
     """One encoder for each Python worker, which keeps its word table from task to task."""
     return WordEncoder(path, limit)
 
@@ -397,7 +397,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str | None = None, end_id: in
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return store(ordered.mapInArrow(shards, SHARDS), "token-shards")
+    return store(ordered.mapInArrow(released(shards), SHARDS), "token-shards")
 
 
 def read_token_shards(shards: DataFrame, digest: bool = False) -> DataFrame:
@@ -433,7 +433,7 @@ def read_token_shards(shards: DataFrame, digest: bool = False) -> DataFrame:
     # read back, the list of shards has a known size: a short one is broadcast and no shard is shuffled
     bases = store(bases.join(parts, "part").select("part", "seq", (F.col("part_base") + F.col("in_part")).alias("base")), "shard-list")
     placed = shards.select("part", "seq", "shard").join(bases, ["part", "seq"])
-    return placed.mapInArrow(rows, f"doc_id long, start long, n_tokens long, {column} {'long' if digest else 'binary'}")
+    return placed.mapInArrow(released(rows), f"doc_id long, start long, n_tokens long, {column} {'long' if digest else 'binary'}")
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
