@@ -13,6 +13,9 @@ from .common import released, store
 from .tokens import default_tokenizer, encoded, encoder_for
 
 
+TABLE_WORDS = 200_000  # what packing's tokenizer may hold of distinct words, beside two heaps in one executor
+
+
 @dataclass(frozen=True)
 class Capacity:
     """What one sequence may hold. The attention cost of a piece is its length squared."""
@@ -29,7 +32,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
     path = tokenizer or default_tokenizer()
 
     def cut(batches):
-        for keys, ids, n in encoded(batches, encoder_for(path), end_id):
+        encoder = encoder_for(path, TABLE_WORDS)
+        for keys, ids, n in encoded(batches, encoder, end_id):
             count = -(-n // length)
             doc = np.repeat(np.arange(len(n)), count)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
@@ -44,6 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
                 ],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
+        encoder.forget()  # between tasks the worker keeps the common words alone
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids binary")

@@ -80,7 +80,7 @@ class WordEncoder:
         self.count = np.zeros(1 << 16, np.int32)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Keeps only the words that more than one batch has had."""
         stay = self.seen[: len(self.index)] > 1
         if stay.sum() > self.limit // 2:
@@ -159,7 +159,7 @@ class WordEncoder:
         if not self.by_word:
             return self._whole(["" if t is None else t for t in texts.to_pylist()])
         if len(self.index) > self.limit:
-            self._forget()
+            self.forget()
         at, words, per_text = split_words(texts)
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
