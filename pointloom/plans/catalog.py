@@ -195,9 +195,13 @@ def g9(s, d):
     return _r6(voxel.enhanced_reflectivity(r, voxel.ring_means(r)).select("point_id", "reflectivity"), "reflectivity")
 
 
-@query("g9_ring_ema")
+@query(
+    "g9_ring_ema",
+    ", m AS (SELECT frame_id, ring, avg(intensity*4) AS r, avg(ambient/4) AS a FROM ring WHERE ring >= 0 AND ring < 256 GROUP BY 1, 2), l AS (SELECT frame_id, ring, list(r) OVER w AS rs, list(a) OVER w AS xs FROM m WINDOW w AS (PARTITION BY ring ORDER BY frame_id ROWS UNBOUNDED PRECEDING)) SELECT frame_id, ring, round(list_reduce(rs, lambda o, n: 0.75e0*o + 0.25e0*n), 6) AS m_ref, round(list_reduce(xs, lambda o, n: 0.75e0*o + 0.25e0*n), 6) AS m_amb FROM l",
+    "ring",
+)
 def g9e(s, d):
-    return voxel.smooth_rings(voxel.ring_means(views.ring_view(s, d)), 0.25)
+    return _r6(voxel.smooth_rings(voxel.ring_means(views.ring_view(s, d)), 0.25), "m_ref", "m_amb")
 
 
 # Joins --------------------------------------------------------------------------------------------
@@ -339,15 +343,48 @@ def p4(s, d):
     return _r6(views.cloud_emb(s, d).select("point_id", E.det(m).alias("det"), inv[0][0].alias("i00"), inv[0][1].alias("i01"), inv[2][2].alias("i22")), "i00", "i01", "i22")
 
 
-@query("p5_eigen")
+# Covariances of ten neighbours and, in closed form, their eigenvalues and the projector on the first axis.
+_COV = _KNN + ", c AS (SELECT query_id AS point_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz, sum(x*x) AS xx, sum(x*y) AS xy, sum(x*z) AS xz, sum(y*y) AS yy, sum(y*z) AS yz, sum(z*z) AS zz FROM k JOIN emb e ON e.point_id = nbr_id WHERE rank <= 10 GROUP BY 1), v AS (SELECT point_id, xx/n - sx/n*(sx/n) AS cxx, xy/n - sx/n*(sy/n) AS cxy, xz/n - sx/n*(sz/n) AS cxz, yy/n - sy/n*(sy/n) AS cyy, yz/n - sy/n*(sz/n) AS cyz, zz/n - sz/n*(sz/n) AS czz FROM c) "
+_EIG = (
+    _COV
+    + ", q1 AS (SELECT *, (cxx + cyy + czz)/3 AS q FROM v), q2 AS (SELECT *, sqrt(((cxx-q)*(cxx-q) + (cyy-q)*(cyy-q) + (czz-q)*(czz-q) + 2*(cxy*cxy + cxz*cxz + cyz*cyz))/6) AS p FROM q1)"
+    + ", q3 AS (SELECT *, CASE WHEN p < 1e-12 THEN 1e0 ELSE greatest(-1e0, least(1e0, ((cxx-q)*((cyy-q)*(czz-q) - cyz*cyz) - cxy*(cxy*(czz-q) - cyz*cxz) + cxz*(cxy*cyz - (cyy-q)*cxz))/(2*p*p*p))) END AS r FROM q2)"
+    + ", q4 AS (SELECT *, q + 2*p*cos(acos(r)/3) AS l2, q + 2*p*cos(acos(r)/3 + 2*pi()/3) AS l0 FROM q3), g AS (SELECT *, 3*q - l0 - l2 AS l1 FROM q4)"
+    + ", e AS (SELECT *, "
+    + ", ".join(f"(({' + '.join(f'c{min(i, k)}{max(i, k)}*c{min(k, j)}{max(k, j)}' for k in 'xyz')}) - (l1 + l2)*c{i}{j}{' + l1*l2' if i == j else ''})/((l0 - l1)*(l0 - l2)) AS n{i}{j}" for i, j in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    + " FROM g) "
+)
+_AXIS = ", ".join(f"round(n{c}, 3) + 0e0 AS n{c}" for c in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
+
+def _axis(x: F.Column, y: F.Column, z: F.Column) -> list[F.Column]:
+    """The products of an axis' components, which do not depend on its sign."""
+    a = dict(zip("xyz", (x, y, z)))
+    return [(F.round(a[i] * a[j], 3) + F.lit(0.0)).alias(f"n{i}{j}") for i, j in ("xx", "xy", "xz", "yy", "yz", "zz")]
+
+
+def _r(n: int, *cols: str) -> list[F.Column]:
+    """Rounded, off the middle between two results, and without a negative zero."""
+    return [(F.round(F.col(c) + F.lit(1e-7), n) + F.lit(0.0)).alias(c) for c in cols]
+
+
+def _sql_r(n: int, expr: str) -> str:
+    return f"round({expr} + 1e-7, {n}) + 0e0"
+
+
+@query("p5_eigen", _EIG + "SELECT point_id, " + ", ".join(f"{_sql_r(4, c)} AS {c}" for c in ("l0", "l1", "l2")) + ", " + _AXIS + " FROM e", "emb")
 def p5(s, d):
     c = features.covariances(views.cloud_emb(s, d), 10)
-    return c.select("point_id", udfs.eigen3()(*E.COV).alias("e")).select("point_id", "e.l0", "e.l1", "e.l2")
+    e = c.select("point_id", udfs.eigen3()(*E.COV).alias("e")).select("point_id", "e.*")
+    return e.select("point_id", *_r(4, "l0", "l1", "l2"), *_axis(*(F.col(f"v0{j}") for j in range(3))))
 
 
-@query("p7_spd_log_exp")
+@query("p7_spd_log_exp", _EIG + f"SELECT point_id, {_sql_r(3, 'ln(l0) + ln(l1) + ln(l2)')} AS log_trace, " + ", ".join(f"{_sql_r(4, c)} AS {c}" for c in E.COV) + " FROM e", "emb")
 def p7(s, d):
-    return udfs.apply_matrix(udfs.apply_matrix(features.covariances(views.cloud_emb(s, d), 10), "log_spd3"), "exp_spd3").select("point_id", *E.COV)
+    """The logarithm's trace, and the matrix that its exponential gives back."""
+    log = udfs.apply_matrix(features.covariances(views.cloud_emb(s, d), 10), "log_spd3")
+    log = log.withColumn("log_trace", F.col("cxx") + F.col("cyy") + F.col("czz"))
+    return udfs.apply_matrix(log, "exp_spd3").select("point_id", *_r(3, "log_trace"), *_r(4, *E.COV))
 
 
 @query("p9_so3_exp", ", r AS (SELECT point_id, x/8 AS x, y/8 AS y, z/8 AS z, sqrt(x*x+y*y+z*z)/8 AS t FROM emb) SELECT point_id, round(CASE WHEN t < 1e-8 THEN 1e0 ELSE 1 - (1-cos(t))/(t*t)*(y*y+z*z) END, 6) AS r00, round(CASE WHEN t < 1e-8 THEN 0e0 ELSE -sin(t)/t*z + (1-cos(t))/(t*t)*x*y END, 6) AS r01 FROM r", "emb")
@@ -369,7 +406,6 @@ def p13(s, d):
 
 # Neighbourhood features ---------------------------------------------------------------------------
 
-_COV = _KNN + ", c AS (SELECT query_id AS point_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz, sum(x*x) AS xx, sum(x*y) AS xy, sum(x*z) AS xz, sum(y*y) AS yy, sum(y*z) AS yz, sum(z*z) AS zz FROM k JOIN emb e ON e.point_id = nbr_id WHERE rank <= 10 GROUP BY 1), v AS (SELECT point_id, xx/n - sx/n*(sx/n) AS cxx, xy/n - sx/n*(sy/n) AS cxy, xz/n - sx/n*(sz/n) AS cxz, yy/n - sy/n*(sy/n) AS cyy, yz/n - sy/n*(sz/n) AS cyz, zz/n - sz/n*(sz/n) AS czz FROM c) "
 
 
 @query("n1_covariance", _COV + "SELECT * FROM v", "emb")
@@ -382,19 +418,22 @@ def n2(s, d):
     return features.robust_covariances(views.cloud_emb(s, d), 10).select("point_id", *E.COV)
 
 
-@query("n4_normals")
+@query("n4_normals", _EIG + "SELECT point_id, " + _AXIS + ", true AS faces FROM e", "emb")
 def n4(s, d):
-    return features.normals(views.cloud_emb(s, d), 10)
+    """Normals up to their sign, and whether each is turned as it must be: n . p is at most 1 where -n would be too."""
+    n = features.normals(views.cloud_emb(s, d), 10)
+    return n.select("point_id", *_axis(*(F.col(c) for c in E.NORMAL)), (E.dot([F.col(c) for c in E.NORMAL], [F.col(c) for c in E.XYZ]) <= 1).alias("faces"))
 
 
-@query("n5_plane_regularization")
+@query("n5_plane_regularization", _EIG + "SELECT point_id, " + ", ".join(f"{_sql_r(3, ('1 - ' if c[1] == c[2] else '-') + '0.999e0*n' + c[1:])} AS {c}" for c in E.COV) + " FROM e", "emb")
 def n5(s, d):
-    return udfs.apply_matrix(features.covariances(views.cloud_emb(s, d), 10), "plane_reg").select("point_id", *E.COV)
+    return udfs.apply_matrix(features.covariances(views.cloud_emb(s, d), 10), "plane_reg").select("point_id", *_r(3, *E.COV))
 
 
-@query("n6_normalized_covariance")
+@query("n6_normalized_covariance", _EIG + "SELECT point_id, " + ", ".join(f"{_sql_r(3, f'{c}/l2 + greatest(1e-3 - l0/l2, 0e0)*n{c[1:]}')} AS {c}" for c in E.COV) + " FROM e", "emb")
 def n6(s, d):
-    return udfs.apply_matrix(features.covariances(views.cloud_emb(s, d), 10), "normalize_cov").select("point_id", *E.COV)
+    """Only the smallest eigenvalue lies below a thousandth of the largest in these neighbourhoods, if any does."""
+    return udfs.apply_matrix(features.covariances(views.cloud_emb(s, d), 10), "normalize_cov").select("point_id", *_r(3, *E.COV))
 
 
 @query("n7_mahalanobis", _COV + ", t AS (SELECT v.*, x, y, z, cxx*(cyy*czz - cyz*cyz) + cxy*(cyz*cxz - cxy*czz) + cxz*(cxy*cyz - cyy*cxz) AS det FROM v JOIN emb USING (point_id)) SELECT point_id, round(CASE WHEN abs(det) < 1e-6 THEN 0e0 ELSE (x*x*(cyy*czz-cyz*cyz) + y*y*(cxx*czz-cxz*cxz) + z*z*(cxx*cyy-cxy*cxy) + 2*x*y*(cxz*cyz-cxy*czz) + 2*x*z*(cxy*cyz-cxz*cyy) + 2*y*z*(cxy*cxz-cxx*cyz))/det END, 3) AS m FROM t", "emb")
@@ -435,9 +474,9 @@ def n11(s, d):
     return _r6(features.intensity_zscore(_lit_emb(s, d), 8, 0.5).select("point_id", "intensity"), "intensity")
 
 
-@query("n12_planarity")
+@query("n12_planarity", _EIG + f"SELECT point_id, {_sql_r(4, 'l0/(l0 + l1 + l2)')} AS curvature, l0/(l0 + l1 + l2) < 0.2 AS planar, CASE WHEN l0/(l0 + l1 + l2) < 0.2 THEN 0.75e0 ELSE 0.25e0 END AS weight FROM e", "emb")
 def n12(s, d):
-    return features.planar(features.covariances(views.cloud_emb(s, d), 10)).select("point_id", "curvature", "planar", features.genz_weight(F.col("planar"), E.lit(0.75)).alias("weight"))
+    return features.planar(features.covariances(views.cloud_emb(s, d), 10)).select("point_id", *_r(4, "curvature"), "planar", features.genz_weight(F.col("planar"), E.lit(0.75)).alias("weight"))
 
 
 # Registration -------------------------------------------------------------------------------------
@@ -487,9 +526,14 @@ def r10(s, d):
     return _pairs(s, d).agg(*sums).select(*(F.round(c, 4).alias(c) for c in ("h00", "b4", "error")), "inlier")
 
 
+#: The motion that the source of every alignment is made by, which an alignment has to find.
+TRUE_POSE = lie.se3_exp(np.array([0.01, -0.02, 0.03, 0.05, -0.04, 0.02]))
+_FOUND = "SELECT " + ", ".join(f"round({float(TRUE_POSE[i, j])!r}::DOUBLE, 3) AS t{i}{j}" for i in range(3) for j in range(4)) + ", true AS converged, count(*) AS inlier FROM emb"
+
+
 def _scene(s, d, kind: reg.RegType) -> tuple[DataFrame, DataFrame]:
     tgt = views.cloud_emb(s, d)
-    src = transform.transform_points(tgt, lie.inverse_pose(lie.se3_exp(np.array([0.01, -0.02, 0.03, 0.05, -0.04, 0.02]))))
+    src = transform.transform_points(tgt, lie.inverse_pose(TRUE_POSE))
     if kind is not reg.RegType.POINT_TO_POINT:
         src, tgt = features.covariances(src, 10), features.covariances(tgt, 10)
     if kind in (reg.RegType.POINT_TO_PLANE, reg.RegType.GENZ):
@@ -498,8 +542,9 @@ def _scene(s, d, kind: reg.RegType) -> tuple[DataFrame, DataFrame]:
 
 
 def _result(s, r: reg.Result) -> DataFrame:
-    rows = [(r.T.ravel().tolist(), r.converged, r.iterations, int(r.inlier), float(r.error), r.H.ravel().tolist(), r.b.tolist(), r.H_raw.ravel().tolist(), r.b_raw.tolist(), float(r.error_raw))]
-    return s.createDataFrame(rows, "T array<double>, converged boolean, iterations int, inlier long, error double, H array<double>, b array<double>, H_raw array<double>, b_raw array<double>, error_raw double")
+    names = [f"t{i}{j}" for i in range(3) for j in range(4)]
+    row = (*(round(float(v), 3) for v in r.T[:3].ravel()), bool(r.converged), int(r.inlier))
+    return s.createDataFrame([row], ", ".join(f"{n} double" for n in names) + ", converged boolean, inlier long")
 
 
 def _align(kind: reg.RegType, **more):
@@ -510,12 +555,12 @@ def _align(kind: reg.RegType, **more):
     return run
 
 
-query("r15_align_gauss_newton")(_align(reg.RegType.POINT_TO_POINT))
-query("r16_align_levenberg")(_align(reg.RegType.POINT_TO_PLANE, optimizer=reg.Optimizer.LEVENBERG_MARQUARDT))
-query("r17_align_dogleg")(_align(reg.RegType.POINT_TO_POINT, optimizer=reg.Optimizer.POWELL_DOGLEG))
-query("r5_align_gicp")(_align(reg.RegType.GICP))
-query("r6_align_genz")(_align(reg.RegType.GENZ))
-query("r4_align_distribution")(_align(reg.RegType.POINT_TO_DISTRIBUTION))
+query("r15_align_gauss_newton", _FOUND, "emb")(_align(reg.RegType.POINT_TO_POINT))
+query("r16_align_levenberg", _FOUND, "emb")(_align(reg.RegType.POINT_TO_PLANE, optimizer=reg.Optimizer.LEVENBERG_MARQUARDT))
+query("r17_align_dogleg", _FOUND, "emb")(_align(reg.RegType.POINT_TO_POINT, optimizer=reg.Optimizer.POWELL_DOGLEG))
+query("r5_align_gicp", _FOUND, "emb")(_align(reg.RegType.GICP))
+query("r6_align_genz", _FOUND, "emb")(_align(reg.RegType.GENZ))
+query("r4_align_distribution", _FOUND, "emb")(_align(reg.RegType.POINT_TO_DISTRIBUTION))
 
 
 @query("r12_rotation_constraint")
@@ -527,7 +572,7 @@ def r12(s, d):
     return pairs.select("point_id", length.alias("residual"), *(b[i].alias(f"b{i}") for i in range(3)))
 
 
-@query("r12_align_constrained")
+@query("r12_align_constrained", _FOUND, "emb")
 def r12a(s, d):
     src, tgt = _scene(s, d, reg.RegType.GICP)
     return _result(s, reg.register(src, tgt, reg.Params(reg_type=reg.RegType.GICP, rotation_constraint=True)))
@@ -540,7 +585,7 @@ def r13(s, d):
     return _result(s, reg.register(src, tgt, p))
 
 
-@query("r14_map_prior")
+@query("r14_map_prior", _FOUND, "emb")
 def r14(s, d):
     src, tgt = _scene(s, d, reg.RegType.POINT_TO_POINT)
     p = reg.Params(reg_type=reg.RegType.POINT_TO_POINT)
@@ -549,13 +594,21 @@ def r14(s, d):
     return _result(s, reg.register(src, tgt, p, first.T, prior=prior))
 
 
-@query("r21_icp_weights")
+def _weights_sql() -> str:
+    T = lie.inverse_pose(TRUE_POSE)
+    moved = [f"{float(T[i, 0])!r}::DOUBLE*x + {float(T[i, 1])!r}::DOUBLE*y + {float(T[i, 2])!r}::DOUBLE*z + {float(T[i, 3])!r}::DOUBLE AS {c}" for i, c in enumerate("xyz")]
+    limit = reg.Params().max_distance
+    return f""", a AS (SELECT point_id, {', '.join(moved)} FROM emb), m AS (SELECT a.point_id, min({D2}) AS d2 FROM a CROSS JOIN emb b GROUP BY 1)
+SELECT point_id, round(CASE WHEN d2 > {limit * limit!r} THEN 0e0 ELSE 1/(1 + d2/0.25e0) END, 6) AS w FROM m"""
+
+
+@query("r21_icp_weights", _weights_sql(), "emb")
 def r21(s, d):
     src, tgt = _scene(s, d, reg.RegType.POINT_TO_POINT)
-    return reg.SparkProblem(src, tgt, reg.Params(reg_type=reg.RegType.POINT_TO_POINT, loss=reg.Loss.CAUCHY)).weights(np.eye(4), 0.5)
+    return _r6(reg.SparkProblem(src, tgt, reg.Params(reg_type=reg.RegType.POINT_TO_POINT, loss=reg.Loss.CAUCHY)).weights(np.eye(4), 0.5), "w")
 
 
-@query("r23_annealing")
+@query("r23_annealing", _FOUND, "emb")
 def r23(s, d):
     src, tgt = _scene(s, d, reg.RegType.POINT_TO_POINT)
     p = reg.PipelineParams(sampling=False, auto_scale=True, levels=2)
@@ -773,9 +826,11 @@ def s6(s, d):
     return ply.join(F.broadcast(both), how="cross").select("n", "sx", (F.col("n") + F.col("m")).alias("both_n"))
 
 
-@query("s13_ellipsoids")
+@query("s13_ellipsoids", _EIG + "SELECT point_id, " + ", ".join(f"{_sql_r(4, f'greatest(1e-3, sqrt(greatest(l{i}, 0e0)))')} AS s{i}" for i in range(3)) + f", {_sql_r(4, '1 - l0/(l2 + 1e-6)')} AS planarity, " + _AXIS + " FROM e", "emb")
 def s13(s, d):
-    return sensors.ellipsoids(features.covariances(views.cloud_emb(s, d), 10).select("point_id", *E.COV))
+    e = sensors.ellipsoids(features.covariances(views.cloud_emb(s, d), 10).select("point_id", *E.COV))
+    x, y, z, w = (F.col(c) for c in ("qx", "qy", "qz", "qw"))
+    return e.select("point_id", *_r(4, "s0", "s1", "s2", "planarity"), *_axis(1 - 2 * (y * y + z * z), 2 * (x * y + z * w), 2 * (x * z - y * w)))
 
 
 @query("extend_union", "SELECT frame_id, point_id, x, y, z FROM emb UNION ALL SELECT frame_id, point_id, x, y, z FROM li", "emb li")
