@@ -167,6 +167,21 @@ def test_spark_and_frame_agree(spark):
     assert np.allclose(a.H, b.H) and np.allclose(a.b, b.b) and a.error == pytest.approx(b.error) and a.inlier == b.inlier
 
 
+def test_normals_come_from_covariances(spark):
+    """A target without normals gets them from its covariances, on DataFrames and on arrays."""
+    rng = np.random.default_rng(3)
+    xyz = rng.normal(size=(60, 3))
+    rows = [(i, *map(float, p)) for i, p in enumerate(xyz)]
+    tgt = features.covariances(spark.createDataFrame(rows, "point_id long, x double, y double, z double"), 8)
+    p = reg.Params(reg_type=reg.RegType.POINT_TO_PLANE, max_distance=5.0)
+    a = reg.SparkProblem(tgt, tgt, p).linearize(np.eye(4), 1.0, 1.0)
+    got = tgt.orderBy("point_id").toPandas()
+    cov = np.stack([got[c] for c in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")], 1)
+    cloud = reg.Cloud(got[["x", "y", "z"]].to_numpy(), lie.symmetric(cov))
+    b = reg.FrameProblem(cloud, cloud, p).linearize(np.eye(4), 1.0, 1.0)
+    assert np.allclose(a.H, b.H) and a.inlier == b.inlier == 60 and np.abs(a.H).max() > 0
+
+
 def test_schedule_and_validation():
     p = reg.PipelineParams(auto_scale=True, init_scale=8, min_scale=1, levels=4)
     assert [round(s, 6) for s, _ in reg.scale_schedule(reg.Params(loss=reg.Loss.CAUCHY), p)] == [8, 4, 2, 1]
