@@ -25,14 +25,14 @@ class Capacity:
     attention: int = 2048 * 2048
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, length: int = 2048) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, length: int = 2048, table_words: int = TABLE_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids): the ids of each whole text of docs(doc_id, text) with the
     end id, cut every `length` ids. ids are little-endian unsigned 32-bit integers. A null text is
     empty; rows repeated in the input are repeated in the output; other columns are ignored."""
     path = tokenizer or default_tokenizer()
 
     def cut(batches):
-        encoder = encoder_for(path, TABLE_WORDS)
+        encoder = encoder_for(path, table_words)
         for keys, ids, n in encoded(batches, encoder, end_id):
             count = -(-n // length)
             doc = np.repeat(np.arange(len(n)), count)
@@ -48,7 +48,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
                 ],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
-        encoder.forget()  # between tasks the worker keeps the common words alone
+        if table_words <= TABLE_WORDS:  # between tasks a lean worker keeps the common words alone
+            encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids binary")
@@ -143,11 +144,11 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), order: tuple[str, .
     return placed.select("row.*", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tag: str) -> DataFrame:
-    pieces = token_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+def pack_documents(docs: DataFrame, tag: str, table_words: int = TABLE_WORDS) -> DataFrame:
+    pieces = token_pieces(docs, table_words=table_words).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     pieces = store(pieces, tag)
     return pack(pieces, order=("doc_id", "piece", "ids_crc32"))
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "pieces")
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "pieces", 800_000)  # no other operator's memory lies in its workers
