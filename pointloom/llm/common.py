@@ -64,7 +64,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[
     lists = pc.ascii_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
     at, ends = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()
-    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
     if lower:  # not by Arrow's ascii_lower, which reads slices of cast arrays from the wrong place
         words = list(map(bytes.lower, words))
     if (blank := np.array([not w for w in words], bool)).any():  # beside white space at the ends of a text

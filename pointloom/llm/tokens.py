@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import gc
 import os
+import string
 import struct
 import zlib
 from itertools import chain, compress
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import released, split_words, store
 
 SUB_BATCH_BYTES = 2 << 20
-MARKS = b".,;:!?"
+MARKS = string.punctuation.encode()
 
 
 def default_tokenizer() -> str:
@@ -47,16 +48,20 @@ class WordEncoder:
     on PROBES when it is loaded; one that is not encodes whole texts by itself. When the word table
     passes `limit`, it drops what one batch alone has had, so memory is bounded."""
 
-    PROBES = ("Ab cD, ef. GH!", " a  b\tc\nD\x0be\x0c", "don't x!y we'll A.B?", "İstanbul Straße naïve ΑΣ ΑΣ.", "x\x85y\xa0z 12 3,4 <b>", "é東京 😀 \x1ca")
+    PROBES = ("Ab cD, ef. GH!", " a  b\tc\nD\x0be\x0c", "don't x!y we'll A.B?", "İstanbul Straße naïve ΑΣ ΑΣ.", "x\x85y\xa0z 12 3,4 <b>", "é東京 😀 \x1ca", "Éça### ΣΑΣ%%% e\u0301x' o'S' Ab'' *x* ß-")
 
     def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         # words of ASCII letters need no normalisation but lower case, and no pattern to split them
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        # words of other letters need the normalisation, but no pattern either
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.vocabulary = max(self.tokenizer.get_vocab_size(), 1 + max(self.tokenizer.get_vocab().values()))
@@ -118,8 +123,8 @@ class WordEncoder:
 
     def _learn(self) -> None:
         """The library's ids of the words that the index has just numbered. Words of ASCII letters share
-        the ids of their lower case, and such words with marks at the end are put together from both:
-        the library's pattern parts them there, whatever the word."""
+        the ids of their lower case, and words of any letters with ASCII marks at the end are put together
+        from both: the library's pattern parts them there, whatever the word."""
         number, first = self.index.__getitem__, len(self.index) - len(self.index.new)
         same, whole, marks, plain, letters, others = [], [], [], [], [], []
         k = 0
@@ -130,17 +135,21 @@ class WordEncoder:
                     plain.append(first + k)
                 else:
                     same.append((first + k, number(low)))
-            elif (bare := w.rstrip(MARKS)) and bare.isalpha():
+            elif (bare := w.rstrip(MARKS)).isalpha():
                 whole.append(first + k)
                 marks.append((number(bare.lower()), number(w[len(bare) :])))
+            elif not (t := bare.decode("utf-8", "replace")).isalpha() or "İ" in t:
+                others.append(first + k)
+            elif len(bare) == len(w):
+                letters.append(first + k)
             else:
-                t = w.decode("utf-8", "replace")
-                (letters if t.isalpha() and "İ" not in t else others).append(first + k)
+                whole.append(first + k)
+                marks.append((number(bare), number(w[len(bare) :])))
             k += 1
         new, self.index.new = self.index.new, []
         self._room(len(self.index), self.used)
         text = lambda at: [new[i - first].decode("utf-8", "replace") for i in at]
-        for tokenizer, at in ((self.plain, plain), (self.tokenizer, letters)):
+        for tokenizer, at in ((self.plain, plain), (self.letters, letters)):
             if at and (got := self._joined(tokenizer, text(at))):
                 self._set(np.array(at), *got)
             else:

@@ -56,6 +56,20 @@ def test_encoder_equals_library():
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == _library(texts[a : a + 100])
 
 
+def test_word_encoder_marks_and_letters():
+    """Words of any letters with marks behind them, contractions and special strings, as the library has them."""
+    import random
+
+    rng, alphabet = random.Random(7), "abZÉßİΣς'\"*%$#<>|-_.,!?0９Ⅷ²éñ\u0338\u0301ﬁǅ東あ\u200d😀KΩʹ \t\n\x85"
+    e = tokens.WordEncoder(TOKENIZER, limit=300)
+    assert e.by_word
+    for _ in range(20):
+        texts = ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(100)] + ["ab<|startoftext|> x<|endoftext|>* \r\n", None, ""]
+        ids, n = e.encode(pa.array(texts))
+        want = _library(texts)
+        assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(0)
     docs_ = [rng.integers(2, 40, rng.integers(0, 300)) for _ in range(200)]
