@@ -56,7 +56,7 @@ def test_many_targets_still_go_to_cells(spark, monkeypatch):
     assert {tuple(r) for r in knn.knn(c, c, 4).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["r13_degenerate", "r12_align_constrained", "r14_map_prior", "r23_annealing", "r5_align_gicp", "r16_align_levenberg", "r6_align_genz"])
+@pytest.mark.parametrize("name", ["r13_degenerate", "r12_align_constrained", "r14_map_prior", "r23_annealing", "r5_align_gicp", "r16_align_levenberg", "r6_align_genz", "r4_align_distribution"])
 def test_alignments_by_tree(spark, no_products, name):
     """Each iteration compared all pairs up to 20000 targets, and shuffled both sides beyond; what the
     session kept for an alignment stayed."""
