@@ -97,3 +97,20 @@ def test_nearest_holds_no_table_of_pairs():
     some = np.arange(0, 20000, 997)
     want = near.squared(t[some] + 1e-3, t)
     assert (at[some] == np.argsort(want, axis=1, kind="stable")[:, :2]).all() and (dist[some] == np.sort(want, axis=1)[:, :2]).all()
+
+
+def test_frame_problem_holds_no_table_of_pairs():
+    """t16: the inertial alignment matches through the same problem, each iteration against one tree."""
+    import tracemalloc
+
+    from pointloom.operators import registration as reg
+
+    t = reg.Cloud(np.random.default_rng(4).normal(size=(20000, 3)))
+    problem = reg.FrameProblem(t, t, reg.Params(reg_type=reg.RegType.POINT_TO_POINT))
+    tracemalloc.start()
+    r = problem.linearize(np.eye(4), 1.0, 1.0)
+    tree = problem.tree
+    problem.linearize(np.eye(4), 1.0, 1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert r.inlier == 20000 and r.error == 0 and problem.tree is tree and peak < 100e6
