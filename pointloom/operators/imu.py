@@ -7,7 +7,8 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,15 +47,18 @@ def windows(samples: DataFrame, bounds: DataFrame, by: tuple[str, ...] = ("strea
     b = bounds.select(*by, "window_id", "t0", "t1").withColumn("_c0", bucket(F.col("t0"))).withColumn("_b", F.explode(F.sequence("_c0", F.greatest("_c0", bucket(F.col("t1"))))))
     touch = (F.col("ts") <= F.col("t1")) & (upto >= F.col("t0")) & (F.col("_b") == F.greatest("_b0", "_c0"))
     joined = s.join(b, [*by, "_b"]).where(touch)
-    inside = joined.where((F.col("ts") > F.col("t0")) & (F.col("ts") <= F.col("t1"))).select(*by, "window_id", "ts", *AXES, F.lit("sample").alias("kind"))
+    def row(kind: str, at: F.Column, values: list[F.Column]) -> F.Column:
+        return F.struct(at.alias("ts"), *(v.alias(c) for c, v in zip(AXES, values)), F.lit(kind).alias("kind"))
 
-    def at(edge: str, kind: str) -> DataFrame:
+    def edge(c: str, kind: str) -> F.Column:
         # at the end of the window only where no sample lies on it
-        between = (F.col("ts") <= F.col(edge)) & (F.col(edge) < F.col("_ts")) if edge == "t0" else (F.col("ts") < F.col(edge)) & (F.col(edge) < F.col("_ts"))
-        a = (F.col(edge) - F.col("ts")) / (F.col("_ts") - F.col("ts"))
-        return joined.where(between).select(*by, "window_id", F.col(edge).alias("ts"), *((F.col(c) + a * (F.col(f"_{c}") - F.col(c))).alias(c) for c in AXES), F.lit(kind).alias("kind"))
+        between = ((F.col("ts") <= F.col(c)) if c == "t0" else (F.col("ts") < F.col(c))) & (F.col(c) < F.col("_ts"))
+        a = (F.col(c) - F.col("ts")) / (F.col("_ts") - F.col("ts"))
+        return F.when(between, row(kind, F.col(c), [F.col(x) + a * (F.col(f"_{x}") - F.col(x)) for x in AXES]))
 
-    return inside.unionByName(at("t0", "start")).unionByName(at("t1", "end"))
+    inside = F.when((F.col("ts") > F.col("t0")) & (F.col("ts") <= F.col("t1")), row("sample", F.col("ts"), [F.col(x) for x in AXES]))
+    made = F.array_compact(F.array(inside, edge("t0", "start"), edge("t1", "end")))
+    return joined.select(*by, "window_id", F.explode(made).alias("_r")).select(*by, "window_id", "_r.*")
 
 
 @dataclass(frozen=True)
@@ -184,17 +188,117 @@ INTEGRAL = "dt double, q array<double>, v array<double>, p array<double>, covari
 
 
 def preintegrate(samples: DataFrame, by: tuple[str, ...] = ("stream_id", "window_id"), params: ImuParams | None = None, bias: Bias | None = None) -> DataFrame:
-    """(by.., dt, q, v, p, covariance) of each window's samples in order: one ordered fold a window."""
-    kinds = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
-
-    def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        s = Preintegration(params)
-        s.reset(bias)
-        s.extend(part.sort_values("ts")[["ts", *AXES]].to_numpy(float))
-        i = s.state
-        return pd.DataFrame([{**dict(zip(by, key)), "dt": i.dt, "q": lie.rotation_to_quaternion(i.R), "v": i.v, "p": i.p, "covariance": i.covariance.ravel()}])
-
-    return samples.groupBy(*by).applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + INTEGRAL)
+    """(by.., dt, q, v, p, covariance) of each window's samples in order: an ordered fold a window, many windows at a time."""
+    kinds, p, bias = dict(samples.dtypes), params or ImuParams(), bias or Bias()
+    schema = pa.schema([(n, t) for n, t in zip(INTEGRAL_NAMES, (pa.float64(), *[pa.list_(pa.float64())] * 4))])
+
+    def fold(batches):
+        rest = None
+        for t in _tables(batches):
+            t = t if rest is None else pa.concat_tables([rest, t])
+            first = _firsts(t, by)
+            if t.num_rows - first[-1] < t.num_rows:  # the last window may go on in the next batch
+                yield from lines(t.slice(0, first[-1]), first[:-1])
+            rest = t.slice(first[-1])
+        if rest is not None:
+            yield from lines(rest, np.zeros(1, np.int64))
+
+    def lines(t, first):
+        rows = np.stack([t[c].to_numpy() for c in ("ts", *AXES)], 1).astype(float)
+        for a in range(0, len(first), FOLDED):
+            some = first[a : a + FOLDED]
+            end = first[a + FOLDED] if a + FOLDED < len(first) else len(rows)
+            made = _together(rows[some[0] : end], some - some[0], p, bias)
+            flat = [pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), v.shape[1]).cast(pa.list_(pa.float64())) for v in made[1:]]
+            yield pa.RecordBatch.from_arrays([*t.select(list(by)).take(pa.array(some)).combine_chunks().to_batches()[0].columns, pa.array(made[0]), *flat], names=[*by, *schema.names])
+
+    ordered = samples.select(*by, "ts", *AXES).repartition(*by).sortWithinPartitions(*by, "ts", *AXES)
+    return ordered.mapInArrow(fold, ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + INTEGRAL)
+
+
+#: Windows that are integrated side by side, and rows that are read at once.
+FOLDED, READ = 1 << 12, 1 << 15
+INTEGRAL_NAMES = ("dt", "q", "v", "p", "covariance")
+
+
+def _tables(batches):
+    some, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            some.append(b)
+            n += b.num_rows
+        if n >= READ:
+            yield pa.Table.from_batches(some)
+            some, n = [], 0
+    if some:
+        yield pa.Table.from_batches(some)
+
+
+def _firsts(t, by: tuple[str, ...]) -> np.ndarray:
+    """First row of each run of equal values of `by`, nulls being equal."""
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for c in by:
+        code = pc.dictionary_encode(t[c].combine_chunks(), null_encoding="encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _together(rows: np.ndarray, first: np.ndarray, p: ImuParams, bias: Bias) -> tuple[np.ndarray, ...]:
+    """dt, quaternion, velocity, position and covariance of many windows of ordered rows: step k of
+    Preintegration._step for all windows that have one at a time."""
+    n = len(first)
+    R, v, x, dt, P = np.tile(np.eye(3), (n, 1, 1)), np.zeros((n, 3)), np.zeros((n, 3)), np.zeros(n), np.zeros((n, 15, 15))
+    window = np.repeat(np.arange(n), np.diff(np.append(first, len(rows))))
+    # as add() does: what is not later than the last kept sample is dropped; rows are in order of time
+    keep = np.ones(len(rows), bool)
+    keep[1:] = (rows[1:, 0] > rows[:-1, 0]) | (window[1:] != window[:-1])
+    rows, window = rows[keep], window[keep]
+    first = np.searchsorted(window, np.arange(n))
+    size = np.diff(np.append(first, len(rows)))
+    noisy = max(p.gyro_noise, p.accel_noise, p.gyro_walk, p.accel_walk) > 0
+    steps = np.zeros(n, np.int64)
+    for k in range(1, int(size.max(initial=0))):
+        at = np.flatnonzero(size > k)
+        a, b = rows[first[at] + k - 1], rows[first[at] + k]
+        long = b[:, 0] - a[:, 0] >= 1e-9
+        at, a, b = at[long], a[long], b[long]
+        if not len(at):
+            continue
+        d = b[:, 0] - a[:, 0]
+        w = (a[:, 1:4] + b[:, 1:4]) / 2 - bias.gyro
+        f = (a[:, 4:7] + b[:, 4:7]) / 2 * p.accel_scale - bias.accel
+        whole, half = lie.so3_exp(w * d[:, None]), lie.so3_exp(w * d[:, None] / 2)
+        mid = R[at] @ half
+        if noisy:
+            P[at] = _spread_many(P[at], p, d, whole, half, lie.right_jacobian(w * d[:, None]), lie.right_jacobian(w * d[:, None] / 2), mid, f)
+        force = (mid @ f[:, :, None])[:, :, 0]
+        x[at] += v[at] * d[:, None] + 0.5 * force * (d * d)[:, None]
+        v[at] += force * d[:, None]
+        R[at] = R[at] @ whole
+        dt[at] += d
+        steps[at] += 1
+        tidy = at[steps[at] % 100 == 0]
+        if len(tidy):
+            R[tidy] = lie.quaternion_to_rotation(lie.rotation_to_quaternion(R[tidy]))
+    return dt, lie.rotation_to_quaternion(R), v, x, P.reshape(n, 225)
+
+
+def _spread_many(P, p: ImuParams, d, whole, half, J, Jh, mid, f) -> np.ndarray:
+    """Preintegration._spread() from the identity attitude, for many windows."""
+    t, turn = d[:, None, None], np.swapaxes
+    pull, n = mid @ lie.skew(f), len(d)
+    A = np.tile(np.eye(15), (n, 1, 1))
+    for k, m in {ROT: -pull @ turn(half, 1, 2), ACC: -mid, GYR: pull @ Jh * t / 2}.items():
+        A[:, VEL, k], A[:, POS, k] = m * t, m * t * t / 2
+    A[:, POS, VEL], A[:, ROT, ROT], A[:, ROT, GYR] = np.eye(3) * t, turn(whole, 1, 2), -J * t
+    G = np.zeros((n, 15, 12))
+    G[:, :, 0:3], G[:, :, 3:6] = A[:, :, ACC], A[:, :, GYR]
+    G[:, ACC, 0:3], G[:, GYR, 3:6] = 0, 0
+    G[:, ACC, 6:9], G[:, GYR, 9:12] = np.eye(3), np.eye(3)
+    q = np.stack([p.accel_noise**2 / d, p.gyro_noise**2 / d, p.accel_walk**2 * d, p.gyro_walk**2 * d], 1).repeat(3, axis=1)
+    P = A @ P @ turn(A, 1, 2) + (G * q[:, None, :]) @ turn(G, 1, 2)
+    return (P + turn(P, 1, 2)) / 2
 
 
 # Alignment and velocity ---------------------------------------------------------------------------

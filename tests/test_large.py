@@ -114,3 +114,22 @@ def test_frame_problem_holds_no_table_of_pairs():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert r.inlier == 20000 and r.error == 0 and problem.tree is tree and peak < 100e6
+
+
+def test_preintegration_side_by_side(spark):
+    """t2: one Python fold a window took a step in Python for each sample; 6 million have to be done."""
+    from pointloom.functions import lie
+    from pointloom.operators import imu
+
+    rng, params = np.random.default_rng(5), imu.ImuParams(gyro_noise=1e-3, accel_noise=1e-2)
+    rows = [(s, w, float(ts), *rng.normal(size=6).tolist()) for s in range(3) for w, n in enumerate((1, 2, 150, 3000, 4)) for ts in rng.permutation(n) * 0.01]
+    df = spark.createDataFrame(rows, "stream_id long, window_id long, ts double, " + ", ".join(f"{a} double" for a in imu.AXES))
+    made = imu.preintegrate(df, params=params)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    got = {(r["stream_id"], r["window_id"]): r for r in made.collect()}
+    assert len(got) == 15
+    for key, r in got.items():
+        one = imu.Preintegration(params)
+        one.extend(np.array(sorted(x[2:] for x in rows if x[:2] == key)))
+        for a, b in zip((r["dt"], r["q"], r["v"], r["p"], r["covariance"]), (one.state.dt, lie.rotation_to_quaternion(one.state.R), one.state.v, one.state.p, one.state.covariance.ravel())):
+            assert np.allclose(a, b, rtol=1e-7, atol=1e-9)
