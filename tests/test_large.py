@@ -203,3 +203,14 @@ def test_prior_aligns_one_problem(spark, monkeypatch):
     monkeypatch.setattr(knn, "hold", lambda *a, **b: held.append(1) or real(*a, **b))
     r = catalog.QUERIES["r14_map_prior"](spark, SMALL).first()
     assert r["converged"] and r["inlier"] == 500 and len(held) == 1
+
+
+def test_annealing_runs_few_jobs(spark, jobs):
+    """r23: both levels go over the same blocks; each of their iterations took three jobs."""
+    from pointloom.operators import registration as reg
+
+    steps, real = [], reg.SparkProblem.linearize
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(reg.SparkProblem, "linearize", lambda *a: steps.append(1) or real(*a))
+        n = jobs(lambda: catalog.QUERIES["r23_annealing"](spark, SMALL))
+    assert len(steps) >= 2 and n <= len(steps) + 6
